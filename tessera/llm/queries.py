@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, srs, va_file
+from tessera.llm import bpe, minhash, srs, va_file
 from tessera.llm.common import table
 
 
@@ -46,9 +46,15 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.transform(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, bpe.digests, fields)
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose 4-word shingle sets are 80 % alike: doc_id, n_shingles, component_id, kept."""
+    return minhash.classes(table(spark, sf_dir, "documents"), words=4, percent=80, lower=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_va_file": op1_va_file,
     "op3_byte_bpe": op3_byte_bpe,
+    "op8_minhash": op8_minhash,
     "op10_projected_neighbours": op10_projected_neighbours,
 }
 
