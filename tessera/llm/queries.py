@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, minhash, srs, va_file
+from tessera.llm import bpe, minhash, packing, srs, va_file
 from tessera.llm.common import table
 
 
@@ -46,6 +46,13 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.transform(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, bpe.digests, fields)
 
 
+def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack every document into sequences of 4096 tokens: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    pieces = packing.piece_digests(table(spark, sf_dir, "documents"), path, 4096, end_id=1)
+    return packing.pack(pieces, 4096, [F.col(c) for c in ("doc_id", "piece", "ids_crc32")])
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose 4-word shingle sets are 80 % alike: doc_id, n_shingles, component_id, kept."""
     return minhash.classes(table(spark, sf_dir, "documents"), words=4, percent=80, lower=True)
@@ -54,6 +61,7 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_va_file": op1_va_file,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_best_fit": op4_best_fit,
     "op8_minhash": op8_minhash,
     "op10_projected_neighbours": op10_projected_neighbours,
 }
