@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, minhash, packing, srs, va_file
+from tessera.llm import bpe, debruijn, minhash, packing, srs, va_file
 from tessera.llm.common import table
 
 
@@ -53,6 +53,12 @@ def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, 4096, [F.col(c) for c in ("doc_id", "piece", "ids_crc32")])
 
 
+def op7_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove words of 50-word windows that start in an earlier document: doc_id, n_words, n_removed, kept_sha256."""
+    docs = table(spark, sf_dir, "documents")
+    return debruijn.apply(docs, debruijn.digest, "n_words long, n_removed long, kept_sha256 string", ["doc_id"])
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose 4-word shingle sets are 80 % alike: doc_id, n_shingles, component_id, kept."""
     return minhash.classes(table(spark, sf_dir, "documents"), words=4, percent=80, lower=True)
@@ -62,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_va_file": op1_va_file,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_best_fit": op4_best_fit,
+    "op7_debruijn": op7_debruijn,
     "op8_minhash": op8_minhash,
     "op10_projected_neighbours": op10_projected_neighbours,
 }
