@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, debruijn, minhash, packing, srs, va_file
+from tessera.llm import bpe, debruijn, minhash, packing, srs, toxicity, va_file
 from tessera.llm.common import table
 
 
@@ -64,12 +64,20 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents"), words=4, percent=80, lower=True)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document for toxicity: doc_id, held_out, score, predicted."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~toxicity.held_out()))
+    return toxicity.score(docs, model, ["doc_id"]).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_va_file": op1_va_file,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_best_fit": op4_best_fit,
     "op7_debruijn": op7_debruijn,
     "op8_minhash": op8_minhash,
+    "op9_toxicity": op9_toxicity,
     "op10_projected_neighbours": op10_projected_neighbours,
 }
 
