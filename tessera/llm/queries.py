@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, debruijn, minhash, packing, srs, toxicity, va_file
+from tessera.llm import bpe, crf, debruijn, minhash, packing, srs, toxicity, va_file
 from tessera.llm.common import table
 
 
@@ -53,6 +53,11 @@ def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, 4096, [F.col(c) for c in ("doc_id", "piece", "ids_crc32")])
 
 
+def op6_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page: page_id, url, text, n_chars."""
+    return crf.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op7_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remove words of 50-word windows that start in an earlier document: doc_id, n_words, n_removed, kept_sha256."""
     docs = table(spark, sf_dir, "documents")
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_va_file": op1_va_file,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_best_fit": op4_best_fit,
+    "op6_crf": op6_crf,
     "op7_debruijn": op7_debruijn,
     "op8_minhash": op8_minhash,
     "op9_toxicity": op9_toxicity,
