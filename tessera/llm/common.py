@@ -51,6 +51,18 @@ def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list] |
     return df.mapInArrow(run, schema)
 
 
+def filter_rows(df: DataFrame, column: str, fn: Callable[[list], list[bool]]) -> DataFrame:
+    """Rows of `df` whose `column` values `fn` accepts. Python sees that column only; the batches pass through."""
+    set_batches(df.sparkSession)
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(fn(batch.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def map_groups(df: DataFrame, keys: list[str], fn: Callable[[tuple, list[pa.RecordBatch]], Iterable[dict[str, list]]], schema: str, partitions: int | None = None) -> DataFrame:
     """Stream groups of rows with equal `keys`: `fn(key, slices)` is called once per group with zero-copy batch slices.
 

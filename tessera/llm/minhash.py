@@ -70,6 +70,12 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, lower: bool = Fals
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+def representatives(df: DataFrame, words: int = 5, percent: int = 80, lower: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `df`, all columns, of the document with the smallest id of each class; null ids stay."""
+    gone = classes(df, words, percent, lower, id_col, text_col).where("not kept").select(id_col).distinct()
+    return df.join(gone, id_col, "left_anti").select(*df.columns)
+
+
 def in_blocks(rows: DataFrame, key: str, id_col: str, blocks: Column) -> DataFrame:
     """Give each row of a group the pairs of blocks (`low`, `high`) that need it; one pair where `blocks` is 1."""
     own = F.pmod(F.xxhash64(id_col, F.lit(3)), F.col("blocks")).cast("int")

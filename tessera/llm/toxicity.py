@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches
+from tessera.llm.common import filter_rows, map_batches
 from tessera.llm.shingles import hashes, split, windows
 
 #: Labelled rows that voters and classifier are fitted on, at most.
@@ -227,6 +227,11 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "score", "predicted")
 
 
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, that the model does not predict to be toxic."""
+    return filter_rows(docs, text_col, lambda texts: [model.score(t) < 0.5 for t in texts])
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows whose labels are never learnt from: CRC-32 of the id as text divisible by 5. Null ids are not."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
