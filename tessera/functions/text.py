@@ -11,8 +11,19 @@ STOP_WORDS = ("if", "else", "for", "while", "return", "true", "false", "nil", "n
 QUESTION_WORDS = ("what", "how", "why", "where", "when", "which")
 # File extensions and the language that each stands for.
 LANGUAGES = {
-    "rs": "rust", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "py": "python", "go": "go", "java": "java", "c": "c",
-    "h": "cpp", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "html": "html", "htm": "html", "css": "css", "json": "json", "toml": "toml", "md": "markdown",
+    "rs": "rust",
+    "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript",
+    "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript",
+    "py": "python", "pyw": "python",
+    "go": "go",
+    "java": "java",
+    "c": "c",
+    "h": "cpp", "hpp": "cpp", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "c++": "cpp",
+    "html": "html", "htm": "html",
+    "css": "css", "scss": "css", "sass": "css", "less": "css",
+    "json": "json",
+    "toml": "toml",
+    "md": "markdown", "markdown": "markdown",
 }
 
 
