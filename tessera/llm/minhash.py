@@ -28,9 +28,9 @@ SKETCH = 32
 SHARED = 12
 #: A member this alike to its leader (of SKETCH values) needs no turn as leader: the leader stands for it.
 CLOSE = 29
-#: Members of a list, and bytes of text of a group of likely links, in one block.
+#: Members of a list, and shingles of a group of likely links, in one block.
 LIST_ROWS = 4096
-GROUP_BYTES = 8 << 20
+GROUP_SHINGLES = 1_000_000
 
 
 def signatures(df: DataFrame, words: int, lower: bool, id_col: str, text_col: str) -> DataFrame:
@@ -48,10 +48,11 @@ def links(df: DataFrame, words: int = 5, percent: int = 80, lower: bool = False,
     """The signatures of `df` and edges `a, b` that join exactly the documents that links of `percent` similarity join."""
     signed = cut(signatures(df, words, lower, id_col, text_col))
     named = signed.where("id is not null and print is not null")
-    sets = named.groupBy("print").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"))
+    # Written aside, so that both sides of later joins are plain exchanges, whose hot partitions Spark can split.
+    sets = cut(named.groupBy("print").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch")))
     copies = named.select("print", F.col("id").alias("a")).join(sets.select("print", F.col("id").alias("b")), "print").where("a <> b").select("a", "b").distinct()
-    likely = components(_likely(cut(sets.select("id", "sketch"))))
-    exact = _verified(df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text")), likely, words, percent, lower)
+    likely = components(_likely(sets.select("id", "sketch")))
+    exact = _verified(df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text")), likely, signed, words, percent, lower)
     return signed, cut(copies.unionByName(exact))
 
 
@@ -89,7 +90,7 @@ def in_blocks(rows: DataFrame, key: str, id_col: str, blocks: Column) -> DataFra
 def _likely(sets: DataFrame) -> DataFrame:
     """Edges `a, b` of likely links between representatives `id, sketch`."""
     values = sets.select("id", F.explode("sketch").alias("value"))
-    counted = values.groupBy("value").agg(F.count("*").alias("rows")).where("rows > 1")
+    counted = cut(values.groupBy("value").agg(F.count("*").alias("rows")).where("rows > 1"))
     shared = values.join(counted, "value").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rows", "value"))).alias("shared"))
     need = F.least(F.lit(SHARED), F.ceil(F.size("sketch") * 0.8)).cast("int")
     rare = sets.join(shared, "id").withColumn("spare", F.size("shared") - need + 1).where("spare > 0")
@@ -152,11 +153,12 @@ def forest(ids: np.ndarray, padded: tuple[np.ndarray, np.ndarray]) -> tuple[list
     return a[a != b].tolist(), b[a != b].tolist()
 
 
-def _verified(texts: DataFrame, likely: DataFrame, words: int, percent: int, lower: bool) -> DataFrame:
+def _verified(texts: DataFrame, likely: DataFrame, signed: DataFrame, words: int, percent: int, lower: bool) -> DataFrame:
     """Edges `a, b` that join the classes of exact links within each group of likely links."""
     rows = likely.select(F.col("node").alias("id"), F.col("component").alias("grp")).join(texts, "id")
     rows = rows.where("text is not null")
-    weight = rows.groupBy("grp").agg(F.ceil(F.sum(F.octet_length("text")) / GROUP_BYTES).alias("blocks"))
+    members = likely.join(signed.select(F.col("id").alias("node"), "n"), "node")
+    weight = cut(members.groupBy(F.col("component").alias("grp")).agg(F.ceil(F.sum("n") / GROUP_SHINGLES).alias("blocks")))
     dealt = in_blocks(rows.join(weight, "grp"), "grp", "id", F.greatest("blocks", F.lit(1)))
 
     def group(_: tuple, slices: list[pa.RecordBatch]) -> Iterable[dict[str, list]]:
