@@ -73,12 +73,13 @@ def covered(df: DataFrame, k: int = WINDOW, id_col: str = "doc_id", text_col: st
 
     rows = map_batches(docs, walk, "gram long, path long, doc long, kind int, first int, count int")
     shared = rows.groupBy("gram").agg(F.count("*").alias("n"), F.min("doc").alias("start"), F.max("doc").alias("stop"), (F.min("path") != F.max("path")).alias("branches"))
-    shared = shared.where("start < stop").select("gram", "start", "branches")
+    # Written aside, so that both sides of the join are plain exchanges, whose hot partitions Spark can split.
+    shared = cut(shared.where("start < stop").select("gram", "start", "branches"))
     hits = cut(rows.join(shared, "gram").where("branches or doc > start").drop("start"))
     straight = hits.where("not branches")
 
     branching = hits.where("branches").drop("branches")
-    paths_of = branching.groupBy("gram", "path").agg(F.min("doc").alias("start"))
+    paths_of = cut(branching.groupBy("gram", "path").agg(F.min("doc").alias("start")))
     settled = branching.join(paths_of, ["gram", "path"])
     equal = settled.where("doc > start")
     sources = settled.where("doc = start").groupBy("doc", "kind").agg(F.collect_list(F.struct("gram", "first", "count")).alias("at"))
@@ -95,7 +96,7 @@ def covered(df: DataFrame, k: int = WINDOW, id_col: str = "doc_id", text_col: st
 
     looked = cut(map_batches(docs.join(sources, ["doc", "kind"]), look, "gram long, doc long, kind int, first int, edges array<long>"))
     edges = looked.select("gram", "doc", "kind", "first", F.posexplode("edges").alias("step", "edge"))
-    starts = edges.groupBy("gram", "edge").agg(F.min("doc").alias("start"), F.max("doc").alias("stop")).where("start < stop").drop("stop")
+    starts = cut(edges.groupBy("gram", "edge").agg(F.min("doc").alias("start"), F.max("doc").alias("stop")).where("start < stop").drop("stop"))
     single = edges.join(starts, ["gram", "edge"]).where("doc > start").select("doc", "kind", (F.col("first") + F.col("step")).alias("first"), F.lit(1).alias("count"))
     columns = ["doc", "kind", "first", "count"]
     return straight.select(*columns).unionByName(equal.select(*columns)).unionByName(single)
