@@ -109,6 +109,12 @@ class Writer:
 
     def article(self) -> str:
         r = self.random
+        if r.random() < 0.06:
+            # Text straight in its container, lines parted by breaks only.
+            lines = [self.sentence() for _ in range(r.randint(1, 6))]
+            self.note(" ".join(lines))
+            meta = f"<div class=\"{r.choice(['byline', 'meta', 'tags'])}\">{self.words(1, 4)}</div>" * (r.random() < 0.4)
+            return r.choice(["<br>", "<br><br>", "<br/>"]).join(lines) + meta
         out = [f"<h1>{self.note(self.words(2, 12))}</h1>"] if r.random() < 0.85 else []
         if out and r.random() < 0.2:
             out = [f"<header>{out[0]}<p class=\"{r.choice(['byline', 'meta', 'post-meta'])}\">{self.words(2, 6)}</p></header>"]
@@ -188,7 +194,7 @@ def shapes(block: Block, at: int, of: int) -> list[str]:
     out.append("stop" if text[-1] in ".?!:…" else "open")
     if "©" in text or "|" in text or "·" in text:
         out.append("bars")
-    out.append("first" if at == 0 else "last" if at == of - 1 else "inside")
+    out.append("alone" if of < 4 else "first" if at == 0 else "last" if at == of - 1 else "inside")
     return out
 
 
