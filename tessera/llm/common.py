@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.lineage import cut
+
 #: Rows of an Arrow batch sent to Python: bounds a worker's memory when rows are long.
 BATCH_ROWS = 512
 
@@ -23,19 +24,6 @@ def set_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir.
-
-    Only where that is unset (a single machine, as in tests) a temporary folder is taken.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list] | None], schema: str) -> DataFrame:
     """Apply `fn` to each batch: columns as Python lists in, columns as lists out. One batch is held at a time."""
     spark = df.sparkSession
@@ -123,9 +111,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if per_node.where("n > 1 or (n = 1 and root = 0)").limit(1).count() == 0:
             break
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("m", "v").alias("m"))
-        large = both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        # Written aside, so that both sides of the join are plain exchanges, whose hot partitions Spark can split.
+        least = cut(both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("m", "v").alias("m")))
+        large = cut(both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct())
+        least = cut(large.groupBy("v").agg(F.min("u").alias("m")))
         hooks = large.join(least, "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
         now = cut(hooks.unionByName(least.select("v", F.col("m").alias("u"))).distinct())
     else:
