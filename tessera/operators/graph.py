@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import strip_self
+from tessera.sources.lineage import cut
 
 #: A symbol's id is its file's id and its start: unique, in file order, stable when other files change.
 START_BITS = 32
+#: Names (of tens of bytes) up to which calls are filtered by a broadcast before any shuffle.
+SMALL_NAMES = 200_000
 
 
 def symbol_id(file_id: Column, start_byte: Column) -> Column:
@@ -24,12 +27,17 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     Calls without a caller have no edge; parallel edges stay.
     """
     here = symbols.groupBy("name", "file_id").agg(F.min("symbol_id").alias("here"))
-    first = here.groupBy("name").agg(F.min("here").alias("first"))
+    first = if_small(symbols.groupBy("name").agg(F.min("symbol_id").alias("first")), SMALL_NAMES)
     named = calls.where("caller is not null").withColumn("name", strip_self(F.col("callee_name")))
     found = named.join(first, "name").join(here, ["name", "file_id"], "left")
     return found.select(F.col("caller").alias("from_id"), F.coalesce("here", "first").alias("to_id"), F.lit("Calls").alias("relationship"))
 
 
+def if_small(df: DataFrame, rows: int) -> DataFrame:
+    """`df` with a broadcast hint if it has at most `rows` rows; the count stops beyond them."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def resolve_qualified(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """Edges by the documented intent: bare names as `resolve_calls`; `self.f` within the file, the same parent first;
     `Q::f` and `Q.f` where the parent, or the file's stem, is named Q; another member call only if one such member exists.
@@ -82,6 +90,8 @@ def traverse(edges: DataFrame, roots: DataFrame, depth: int, up: bool = True) ->
     """
     near, far = ("to_id", "from_id") if up else ("from_id", "to_id")
     steps = edges.select(F.col(near).alias("at"), F.col(far).alias("node")).distinct()
+    if depth > 1:
+        steps = cut(steps)
     seen = None
     front = roots.select("root", F.col("root").alias("at")).distinct()
     for level in range(1, depth + 1):
@@ -89,6 +99,9 @@ def traverse(edges: DataFrame, roots: DataFrame, depth: int, up: bool = True) ->
         if seen is not None:
             new = new.join(seen.select("root", "node"), ["root", "node"], "left_anti")
         new = new.withColumn("depth", F.lit(level))
+        if level < depth:
+            # Later levels read this one twice.
+            new = cut(new)
         seen = new if seen is None else seen.unionByName(new)
         front = new.select("root", F.col("node").alias("at"))
     if seen is None:

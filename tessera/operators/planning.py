@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scores
 from tessera.functions.text import compact, estimate_tokens, trim
+from tessera.operators.graph import if_small
+from tessera.sources.lineage import cut
 
-CANDIDATE = ["query_id", "query", "source", "symbol_id", "name", "kind", "relationship", "file_id", "start_byte", "end_byte", "start_line", "end_line", "similarity"]
+#: Candidates without a text of their own, up to which the texts are not shuffled to them.
+SMALL_CANDIDATES = 50_000
 
 
 @dataclass(frozen=True)
@@ -37,20 +40,20 @@ class TokenBudget:
 def symbol_candidates(symbols: DataFrame, queries: DataFrame) -> DataFrame:
     """Symbols named like a query of the small set `queries(query_id, query)`."""
     found = symbols.join(F.broadcast(queries), symbols["name"] == queries["query"])
-    return found.select("query_id", "query", F.lit(0).alias("source"), "symbol_id", "name", "kind", F.lit("References").alias("relationship"), "file_id", "start_byte", "end_byte", "start_line", "end_line", F.lit(0.0).alias("similarity"))
+    return found.select("query_id", "query", F.lit(0).alias("source"), "symbol_id", "name", "kind", F.lit("References").alias("relationship"), "file_id", "start_byte", "end_byte", "start_line", "end_line", F.lit(0.0).alias("similarity"), F.lit(None).cast("string").alias("content"))
 
 
 def lexical_candidates(found: DataFrame, queries: DataFrame) -> DataFrame:
     """Lines that a search found, named by their trimmed text."""
     named = found.join(F.broadcast(queries), "query_id")
-    return named.select("query_id", "query", F.lit(1).alias("source"), F.lit(None).cast("long").alias("symbol_id"), F.concat(F.lit("match:"), trim(F.col("line"))).alias("name"), F.lit("Variable").alias("kind"), F.lit(None).cast("string").alias("relationship"), "file_id", "start_byte", "end_byte", F.col("line_number").alias("start_line"), F.col("line_number").alias("end_line"), F.lit(0.0).alias("similarity"))
+    return named.select("query_id", "query", F.lit(1).alias("source"), F.lit(None).cast("long").alias("symbol_id"), F.concat(F.lit("match:"), trim(F.col("line"))).alias("name"), F.lit("Variable").alias("kind"), F.lit(None).cast("string").alias("relationship"), "file_id", "start_byte", "end_byte", F.col("line_number").alias("start_line"), F.col("line_number").alias("end_line"), F.lit(0.0).alias("similarity"), F.col("line").alias("content"))
 
 
 def semantic_candidates(found: DataFrame, queries: DataFrame) -> DataFrame:
     """Lines that a cosine search found, named by file and start."""
     named = found.join(F.broadcast(queries), "query_id")
     name = F.concat_ws(":", F.lit("semantic"), F.col("file_id"), F.col("start_byte"))
-    return named.select("query_id", "query", F.lit(2).alias("source"), F.lit(None).cast("long").alias("symbol_id"), name.alias("name"), F.lit("Variable").alias("kind"), F.lit(None).cast("string").alias("relationship"), "file_id", "start_byte", "end_byte", F.col("line_number").alias("start_line"), F.col("line_number").alias("end_line"), F.col("score").alias("similarity"))
+    return named.select("query_id", "query", F.lit(2).alias("source"), F.lit(None).cast("long").alias("symbol_id"), name.alias("name"), F.lit("Variable").alias("kind"), F.lit(None).cast("string").alias("relationship"), "file_id", "start_byte", "end_byte", F.col("line_number").alias("start_line"), F.col("line_number").alias("end_line"), F.col("score").alias("similarity"), F.lit(None).cast("string").alias("content"))
 
 
 def rank(candidates: DataFrame) -> DataFrame:
@@ -72,7 +75,8 @@ def plan(ranked: DataFrame, files: DataFrame, budget: TokenBudget, compacting: b
     text; what does not fit the rest of the budget is compacted to it, or skipped if that fails or `compacting` is off.
     The budget is hard. A query's candidates are sorted and streamed through its fold, which holds only its state;
     before that, candidates that no fold could take are cut: repeats of a range, and beyond the first `max_symbols` of
-    one size in one file (as one of these is refused, so are all that follow it). Texts are joined to what is left.
+    one size in one file (as one of these is refused, so are all that follow it). Lines bring their text; the rest of what is
+    left is looked up in the files, without a shuffle of the texts while these are few.
     """
     first = Window.partitionBy("query_id", "file_id", "start_byte").orderBy(*order())
     single = ranked.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
@@ -83,10 +87,12 @@ def plan(ranked: DataFrame, files: DataFrame, budget: TokenBudget, compacting: b
         alike = Window.partitionBy("query_id", "file_id", "_size").orderBy(*order())
         single = single.withColumn("_n", F.row_number().over(alike)).where(F.col("_n") <= budget.max_symbols).drop("_n")
     keys = ["query_id", "total", "source", "file_id", "start_byte", "symbol_id", "end_byte", "start_line", "end_line", "name"]
+    single = cut(single.select(*keys, "content"))
     texts = files.select("file_id", F.encode("text", "UTF-8").alias("_content"))
-    joined = single.join(texts, "file_id").where(F.col("end_byte") <= F.octet_length("_content"))
+    sought = if_small(single.where("content is null").drop("content"), SMALL_CANDIDATES)
+    slices = texts.join(sought, "file_id").where(F.col("end_byte") <= F.octet_length("_content"))
     content = F.decode(F.expr("substring(_content, int(start_byte + 1), int(end_byte - start_byte))"), "UTF-8")
-    joined = joined.select(*keys, content.alias("content"))
+    joined = single.where("content is not null").unionByName(slices.select(*keys, content.alias("content")))
     joined = joined.withColumn("token_count", estimate_tokens(F.col("content")))
     dealt = joined.repartition("query_id").sortWithinPartitions("query_id", *order())
     names = [*keys, "content", "token_count"]

@@ -15,6 +15,7 @@ from tessera.functions import scores
 from tessera.functions import text as T
 from tessera.operators import graph, lexical, planning, semantic
 from tessera.sources import state
+from tessera.sources.files import spread
 
 # The stated queries of the registered searches.
 EXACT = {1: ("The", "exact"), 2: ("idiot", "exact"), 3: ("und ", "exact")}
@@ -33,7 +34,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`file_id, path, language, text` of the documents."""
-    docs = _table(spark, sf_dir, "documents")
+    docs = spread(_table(spark, sf_dir, "documents"))
     path = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id"), F.lit("."), F.coalesce("lang", F.lit("")))
     return docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), F.col("lang").alias("language"), "text")
 
@@ -219,7 +220,7 @@ def apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def web_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("file_id"), F.col("html").alias("text"))
+    pages = spread(_table(spark, sf_dir, "pages")).select(F.col("page_id").alias("file_id"), F.col("html").alias("text"))
     return lexical.search_many(lexical.lines(pages), {1: ("<ARTICLE>", "case_insensitive"), 2: ("<nav", "exact")}).select("query_id", "file_id", "line_number", "start_byte", "end_byte")
 
 

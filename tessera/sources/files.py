@@ -104,6 +104,13 @@ def described(raw: DataFrame) -> DataFrame:
     return rows.select("file_id", "path", language_of(F.col("path")).alias("language"), F.octet_length("content").cast("long").alias("size_bytes"), lines.cast("int").alias("line_count"), "modified_at", binary.alias("is_binary"), generated.alias("is_generated"), vendor.alias("is_vendor"), "text")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan over all cores: dealt anew only if it has fewer partitions than there are cores, which a large input
+    never has, so that no large text is shuffled."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def searchable(files: DataFrame) -> DataFrame:
     """Files whose content is searched and scanned: vendored and binary ones are only counted."""
     return files.where("not is_binary and not is_vendor")
