@@ -63,7 +63,7 @@ def resolve_qualified(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     found = members.join(by_owner, ["name", "owner"], "left").join(by_stem, ["name", "owner"], "left").join(alone, "name", "left")
     known = symbols.select(F.col("name").alias("owner")).distinct().withColumn("is_type", F.lit(True))
     found = found.join(known, "owner", "left")
-    target = F.coalesce("by_owner", "by_stem", F.when(F.col("is_type").isNull() & ~F.contains("head", F.lit("::")), F.col("alone")))
+    target = F.coalesce("by_owner", "by_stem", F.when(F.col("is_type").isNull() & ~F.col("callee_name").rlike(r"::[^.:]+$"), F.col("alone")))
     return edges.unionByName(_edges(found.where(target.isNotNull()), target))
 
 
