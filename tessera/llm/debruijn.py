@@ -161,6 +161,9 @@ def kept_text(text: str, runs: list | None, k: int = WINDOW) -> str:
 def remove(df: DataFrame, k: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`df` with covered words taken out of `text_col`; other columns, and the number and ids of rows, stay."""
     keep = [c for c in df.columns if c != text_col]
-    fn = lambda text, runs: {"_kept": kept_text(text, runs, k)}
-    out = apply(df, fn, "_kept string", keep, k, id_col, text_col)
-    return out.select(*[F.col("_kept").alias(c) if c == text_col else F.col(c) for c in df.columns])
+    made = "_kept"
+    while made in df.columns:
+        made += "_"
+    fn = lambda text, runs: {made: kept_text(text, runs, k)}
+    out = apply(df, fn, f"{made} string", keep, k, id_col, text_col)
+    return out.select(*[F.col(made).alias(c) if c == text_col else F.col(c) for c in df.columns])

@@ -75,36 +75,38 @@ def pack(pieces: DataFrame, capacity: int, order: list[Column], length_col: str
     `length_col` holds 1 to `capacity`; other lengths raise. Pieces of one length are told apart by `order`; repeated
     rows are placed each on its own. An empty table gives an empty result. Columns named like the added ones are replaced.
     """
-    pieces = cut(pieces.drop("sequence_id", "offset"))
-    length = F.col(length_col).cast("long")
-    checked = pieces.agg(F.count("*").alias("n"), F.min(length).alias("least"), F.max(length).alias("most"), F.count(length).alias("known")).first()
+    pieces = pieces.drop("sequence_id", "offset")
+    names = pieces.columns
+    own = [f"c{i}" for i in range(len(names))]
+    by = [f"o{i}" for i in range(len(order))]
+    rows = cut(pieces.select(*[pieces[c].alias(o) for c, o in zip(names, own, strict=True)], F.col(length_col).cast("long").alias("l"), *[c.alias(o) for c, o in zip(order, by, strict=True)]))
+    checked = rows.agg(F.count("*").alias("n"), F.min("l").alias("least"), F.max("l").alias("most"), F.count("l").alias("known")).first()
     if checked["n"] and (checked["known"] < checked["n"] or checked["least"] < 1 or checked["most"] > capacity):
         raise ValueError(f"lengths must lie between 1 and {capacity}")
-    runs = {r["l"]: r["n"] for r in pieces.groupBy(length.alias("l")).agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    rows = plan(runs, capacity)
+    runs = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
+    made = plan(runs, capacity)
     lots = -(-checked["n"] // RANKED_ROWS)
-    lot = F.pmod(F.xxhash64(*order), F.lit(max(1, lots))) if lots > 1 else F.lit(0).cast("long")
-    dealt = pieces.withColumns({"_l": length, "_lot": lot})
-    own = Window.partitionBy("_l", "_lot").orderBy(*order)
-    ranked = dealt.withColumn("_rank", F.row_number().over(own).cast("long") - 1)
+    lot = F.pmod(F.xxhash64(*by), F.lit(lots)) if lots > 1 else F.lit(0).cast("long")
+    dealt = rows.withColumn("lot", lot)
+    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("l", "lot").orderBy(*by)).cast("long") - 1)
     if lots > 1:
-        counts = dealt.groupBy("_l", "_lot").agg(F.count("*").alias("_n"))
-        before = Window.partitionBy("_l").orderBy("_lot").rowsBetween(Window.unboundedPreceding, -1)
-        base = counts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-        ranked = ranked.join(base, ["_l", "_lot"]).withColumn("_rank", F.col("_rank") + F.col("_base")).drop("_base")
-    names = pieces.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        counts = dealt.groupBy("l", "lot").agg(F.count("*").alias("n"))
+        before = Window.partitionBy("l").orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)
+        base = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+        ranked = ranked.join(base, ["l", "lot"]).withColumn("rank", F.col("rank") + F.col("base"))
+    schema = ", ".join(f"{o} {pieces.schema[c].dataType.simpleString()}" for c, o in zip(names, own, strict=True)) + ", sequence_id long, offset long"
+    made = made[np.lexsort((made[:, 1], made[:, 0]))]
     span = int(max(runs.values(), default=0)) + 1
-    keys = rows[:, 0] * span + rows[:, 1]
+    keys = made[:, 0] * span + made[:, 1]
 
     def place(batch: dict[str, list]) -> dict[str, list]:
-        lengths, ranks = np.array(batch["_l"], np.int64), np.array(batch["_rank"], np.int64)
-        at = rows[np.searchsorted(keys, lengths * span + ranks, side="right") - 1]
+        lengths, ranks = np.array(batch["l"], np.int64), np.array(batch["rank"], np.int64)
+        at = made[np.searchsorted(keys, lengths * span + ranks, side="right") - 1]
         step = ranks - at[:, 1]
-        return {n: batch[n] for n in names} | {"sequence_id": at[:, 5] + step // at[:, 4], "offset": at[:, 6] + step % at[:, 4] * lengths}
+        return {n: batch[n] for n in own} | {"sequence_id": at[:, 5] + step // at[:, 4], "offset": at[:, 6] + step % at[:, 4] * lengths}
 
-    return map_batches(ranked.select(*names, "_l", "_rank"), place, schema)
+    out = map_batches(ranked.select(*own, "l", "rank"), place, schema)
+    return out.select(*[F.col(o).alias(c) for c, o in zip(names, own, strict=True)], "sequence_id", "offset")
 
 
 def cut_pieces(lengths: list[int], capacity: int) -> list[list[tuple[int, int]]]:
