@@ -33,6 +33,13 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     return found.select(F.col("caller").alias("from_id"), F.coalesce("here", "first").alias("to_id"), F.lit("Calls").alias("relationship"))
 
 
+def resolve_local(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Edges within files: a callee, without one leading `self::`, is the last symbol of that name in its file."""
+    last = symbols.groupBy("name", "file_id").agg(F.max("symbol_id").alias("to_id"))
+    named = calls.where("caller is not null").withColumn("name", F.regexp_replace("callee_name", "^self::", ""))
+    return named.join(last, ["name", "file_id"]).select(F.col("caller").alias("from_id"), "to_id", F.lit("Calls").alias("relationship"))
+
+
 def if_small(df: DataFrame, rows: int) -> DataFrame:
     """`df` with a broadcast hint if it has at most `rows` rows; the count stops beyond them."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -149,6 +149,21 @@ def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edges(spark, sf_dir, 4)[1]
 
 
+def local_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, calls = text_symbols(_lines(spark, sf_dir), 4)
+    return graph.resolve_local(calls, own)
+
+
+def changed_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = files(spark, sf_dir)
+    seen = state.file_state(own.where("language <> 'fr'"))
+    return state.changed_since(seen, state.file_state(own)).select("path", "content_hash")
+
+
+def fragment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semantic.fragments(_lines(spark, sf_dir)).groupBy("file_id").agg(F.count("*").alias("fragments"))
+
+
 def find_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, edges = _edges(spark, sf_dir, 4)
     return graph.references(edges, own)
@@ -253,6 +268,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "find_symbol": find_symbol,
     "symbols_in_file": symbols_in_file,
     "call_edges": call_edges,
+    "local_edges": local_edges,
     "find_references": find_references,
     "direct_callers": direct_callers,
     "callers_upto_3": _traverse(True),
@@ -262,6 +278,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "compact_output": compact_output,
     "combine_scores": combine_scores,
     "cache_diff": cache_diff,
+    "changed_since": changed_since,
+    "fragment_lines": fragment_lines,
     "apply_changes": apply_changes,
     "web_lines": web_lines,
 }

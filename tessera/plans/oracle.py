@@ -162,6 +162,9 @@ SELECT query_id, file_id, start_byte, round(l, 6) AS lexical_score, round(s, 6)
     "find_symbol": _with(_LINES, _symbols(4)) + f"SELECT symbol_id, name, file_id, start_byte, end_byte, line_number AS start_line FROM named WHERE name IN ({', '.join(repr(x) for x in [*CONTEXT.values(), 'thandthe'])})",
     "symbols_in_file": _with(_LINES, _symbols(4)) + "SELECT file_id, count(*) AS symbols, min(name) AS least, count(DISTINCT name) AS names FROM named GROUP BY file_id",
     "call_edges": _with(_LINES, _symbols(4)) + "SELECT * FROM edges",
+    "local_edges": _with(_LINES, _symbols(4)) + "SELECT caller AS from_id, h.id AS to_id, 'Calls' AS relationship FROM calls c JOIN (SELECT name, file_id, max(symbol_id) AS id FROM named GROUP BY name, file_id) h ON h.name = c.callee AND h.file_id = c.file_id",
+    "changed_since": _with(_FILES) + "SELECT path, md5(coalesce(text, '')) AS content_hash FROM files WHERE NOT language <> 'fr'",
+    "fragment_lines": _with(_LINES, _TERMS) + "SELECT file_id, count(*) AS fragments FROM docs GROUP BY file_id",
     "find_references": _with(_LINES, _symbols(4)) + "SELECT name, from_id, relationship FROM edges JOIN named ON symbol_id = to_id",
     "direct_callers": _with(_LINES, _symbols(8)) + "SELECT to_id AS root, from_id AS node FROM edges",
     "callers_upto_3": _walk("to_id", "from_id"),

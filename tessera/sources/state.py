@@ -11,6 +11,11 @@ def file_state(files: DataFrame, path_col: str = "path", text_col: str = "text")
     return files.select(F.col(path_col).alias("path"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("content_hash"))
 
 
+def quick_state(files: DataFrame) -> DataFrame:
+    """`path, content_hash` by size and time only: no content is read; a change within a second that keeps the size is missed."""
+    return files.select("path", F.xxhash64("size_bytes", "modified_at").cast("string").alias("content_hash"))
+
+
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """`path, op`: created, modified and deleted paths between two states; unchanged paths have no row."""
     joined = old.select("path", F.col("content_hash").alias("_old")).join(new.select("path", F.col("content_hash").alias("_new")), "path", "full_outer")

@@ -110,6 +110,8 @@ def test_call_resolution(spark):
     calls = spark.createDataFrame(rows, "caller long, file_id long, callee_name string, parent_name string")
     strict = {tuple(r)[:2] for r in graph.resolve_calls(calls, symbols).collect()}
     assert strict == {(10, 1), (11, 2), (12, 1)}
+    local = {tuple(r)[:2] for r in graph.resolve_local(calls, symbols).collect()}
+    assert local == {(10, 1), (11, 2)}
     wide = {tuple(r)[:2] for r in graph.resolve_qualified(calls, symbols).collect()}
     assert wide == {(10, 1), (11, 2), (12, 1), (13, 3), (14, 4), (16, 2), (17, 6)}
 
