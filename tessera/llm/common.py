@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from tessera.sources.lineage import cut
 
-#: Rows of an Arrow batch sent to Python: bounds a worker's memory when rows are long.
+#: Rows and bytes of an Arrow batch sent to Python: they bound a worker's memory when rows are long.
 BATCH_ROWS = 512
+BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def set_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of a batch given to Python workers."""
+    """Bound the rows and bytes of a batch given to Python workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

@@ -25,6 +25,8 @@ TOKEN = re.compile(
     re.DOTALL,
 )
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label|data-component|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.IGNORECASE)
+#: Elements deeper than this are taken as their neighbours' siblings, as browsers do; their text stays.
+DEPTH = 512
 PART = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -121,6 +123,8 @@ def blocks(page: str | None) -> list[Block]:
         own = {f"<{tag}>"} if tag in BLOCK or tag in ("a", "time", "small", "span", "cite") else set()
         if found["attrs"].strip():
             own |= attribute_words(found["attrs"])
+        if len(stack) > DEPTH:
+            continue
         stack.append((tag, stack[-1][1] | own if own else stack[-1][1]))
         links += tag == "a"
         skipping += tag in SKIPPED
