@@ -30,7 +30,9 @@ def lines(files: DataFrame, id_col: str = "file_id", text_col: str = "text") ->
     zero = F.lit(0).cast("long")
     strides = F.sequence(F.lit(0), F.floor((F.size("sizes") - 1) / STRIDE).cast("int"))
     raw = raw.withColumn("sums", F.transform(strides, lambda c: F.aggregate(F.slice("sizes", c * STRIDE + 1, F.lit(STRIDE)), zero, add)))
-    raw = raw.withColumn("starts", F.transform(strides, lambda c: F.aggregate(F.slice("sums", F.lit(1), c), zero, add)))
+    # Both mentions of the sums keep the optimiser from computing them anew for every stride.
+    known = F.sequence(F.lit(0), F.size("sums") - 1)
+    raw = raw.withColumn("starts", F.transform(known, lambda c: F.aggregate(F.slice("sums", F.lit(1), c), zero, add)))
     start = lambda i: F.get("starts", F.floor(i / STRIDE).cast("int")) + F.aggregate(F.slice("sizes", F.floor(i / STRIDE).cast("int") * STRIDE + 1, i % STRIDE), zero, add)
     rows = F.transform("parts", lambda p, i: F.struct((i + 1).alias("line_number"), p.alias("raw"), start(i).alias("start_byte")))
     out = raw.select("file_id", F.inline(rows))
