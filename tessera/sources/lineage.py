@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -10,11 +11,16 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset (a single machine, as in tests) a temporary folder is taken.
+    Only where that is unset (a single machine, as in tests) a temporary folder is taken. What was cut off is released
+    at once: else its shuffle files stay on the executors' disks until the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    context._jvm.System.gc()
+    return out
