@@ -169,17 +169,22 @@ def find_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.references(edges, own)
 
 
-def _traverse(up: bool) -> Callable[[SparkSession, str], DataFrame]:
+def _traverse(up: bool, length: int) -> Callable[[SparkSession, str], DataFrame]:
+    """8 letters give the small graph of the fixed twins, 4 the whole one, that of `call_edges`."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        own, edges = _edges(spark, sf_dir, 8)
+        own, edges = _edges(spark, sf_dir, length)
         return graph.traverse(edges, own.select(F.col("symbol_id").alias("root")), 3, up)
 
     return run
 
 
-def direct_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own, edges = _edges(spark, sf_dir, 8)
-    return graph.neighbours(edges, own.select(F.col("symbol_id").alias("root")))
+def _direct_callers(length: int) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        own, edges = _edges(spark, sf_dir, length)
+        return graph.neighbours(edges, own.select(F.col("symbol_id").alias("root")))
+
+    return run
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -270,9 +275,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "call_edges": call_edges,
     "local_edges": local_edges,
     "find_references": find_references,
-    "direct_callers": direct_callers,
-    "callers_upto_3": _traverse(True),
-    "callees_upto_3": _traverse(False),
+    "direct_callers": _direct_callers(8),
+    "callers_upto_3": _traverse(True, 8),
+    "callees_upto_3": _traverse(False, 8),
+    "all_direct_callers": _direct_callers(4),
+    "all_callers_upto_3": _traverse(True, 4),
+    "all_callees_upto_3": _traverse(False, 4),
     "rank_candidates": rank_candidates,
     "context_totals": context_totals,
     "compact_output": compact_output,

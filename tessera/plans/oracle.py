@@ -85,9 +85,9 @@ named AS (
 )"""
 
 
-def _walk(near: str, far: str) -> str:
+def _walk(near: str, far: str, length: int = 8) -> str:
     return (
-        _with(_LINES, _symbols(8)).replace("WITH ", "WITH RECURSIVE ", 1)
+        _with(_LINES, _symbols(length)).replace("WITH ", "WITH RECURSIVE ", 1)
         + f""", steps AS (SELECT DISTINCT {near} AS a, {far} AS b FROM edges
 ), walk AS (
   SELECT a AS root, b AS node, 1 AS depth FROM steps
@@ -169,6 +169,9 @@ SELECT query_id, file_id, start_byte, round(l, 6) AS lexical_score, round(s, 6)
     "direct_callers": _with(_LINES, _symbols(8)) + "SELECT to_id AS root, from_id AS node FROM edges",
     "callers_upto_3": _walk("to_id", "from_id"),
     "callees_upto_3": _walk("from_id", "to_id"),
+    "all_direct_callers": _with(_LINES, _symbols(4)) + "SELECT to_id AS root, from_id AS node FROM edges",
+    "all_callers_upto_3": _walk("to_id", "from_id", 4),
+    "all_callees_upto_3": _walk("from_id", "to_id", 4),
     "rank_candidates": _CANDIDATES + "SELECT query_id, source, file_id, start_byte, CAST(symbol_match AS DOUBLE) AS symbol_match, CAST(definition AS DOUBLE) AS definition, round(semantic, 6) AS semantic, round(total, 6) AS total FROM ranked",
     "compact_output": _with(_LINES, _asked(EXACT), _found("contains(line, query)"), _FILES)
     + "SELECT query_id, path || ':' || string_agg(line_number || '-' || line_number, ',' ORDER BY line_number) AS output FROM found JOIN files USING (file_id) GROUP BY query_id, file_id, path",

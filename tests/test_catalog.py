@@ -35,3 +35,20 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("up", [True, False])
+def test_whole_graph_is_walked(spark, up):
+    edges = {(r["from_id"], r["to_id"]) for r in QUERIES["call_edges"](spark, SF).collect()}
+    steps = {}
+    for a, b in edges:
+        steps.setdefault(b if up else a, set()).add(a if up else b)
+    want = set()
+    for root in steps:
+        seen, front = set(), {root}
+        for depth in (1, 2, 3):
+            front = set().union(*(steps.get(x, ()) for x in front)) - seen
+            seen |= front
+            want |= {(root, x, depth) for x in front}
+    got = QUERIES[f"all_{'callers' if up else 'callees'}_upto_3"](spark, SF).collect()
+    assert {(r["root"], r["node"], r["depth"]) for r in got} == want and len(got) == len(want)
