@@ -164,17 +164,21 @@ class CodeIndex:
     def _from(self, ids: list[int]) -> DataFrame:
         return self.spark.createDataFrame([(int(i),) for i in ids], "root long")
 
+    def _roots(self, ids: int | list[int] | DataFrame) -> DataFrame:
+        """One id, a list of them, or any number as a table `root`."""
+        return ids if isinstance(ids, DataFrame) else self._from(ids if isinstance(ids, list) else [ids])
+
     def get_callers(self, symbol_id: int) -> DataFrame:
         return graph.neighbours(self.edges, self._from([symbol_id])).select("node")
 
     def get_callees(self, symbol_id: int) -> DataFrame:
         return graph.neighbours(self.edges, self._from([symbol_id]), up=False).select("node")
 
-    def get_callers_upto(self, symbol_ids: int | list[int], depth: int) -> DataFrame:
-        return graph.traverse(self.edges, self._from(symbol_ids if isinstance(symbol_ids, list) else [symbol_ids]), depth)
+    def get_callers_upto(self, symbol_ids: int | list[int] | DataFrame, depth: int) -> DataFrame:
+        return graph.traverse(self.edges, self._roots(symbol_ids), depth)
 
-    def get_callees_upto(self, symbol_ids: int | list[int], depth: int) -> DataFrame:
-        return graph.traverse(self.edges, self._from(symbol_ids if isinstance(symbol_ids, list) else [symbol_ids]), depth, up=False)
+    def get_callees_upto(self, symbol_ids: int | list[int] | DataFrame, depth: int) -> DataFrame:
+        return graph.traverse(self.edges, self._roots(symbol_ids), depth, up=False)
 
     def plan_context(self, query: str, budget: TokenBudget | None = None, semantic_leg: bool = False, compacting: bool = True) -> DataFrame:
         """The plan of one query; see `plan_contexts`."""

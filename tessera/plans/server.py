@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable
 from typing import IO
 
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tessera.errors import QueryError
@@ -17,11 +18,14 @@ from tessera.operators.lexical import summary
 from tessera.operators.planning import TokenBudget
 from tessera.plans import render
 from tessera.plans.engine import CodeIndex
+from tessera.sources.lineage import cut
 
 log = logging.getLogger(__name__)
 # Codes of errors.
 PARSE, INVALID, METHOD, PARAMS, INTERNAL, CANCELLED, TIMEOUT = -32700, -32600, -32601, -32602, -32603, -32800, -32801
 TIMEOUT_MS = 30_000
+#: Rows of one answer; the rest follows by `offset`.
+PAGE = 200
 
 
 def _tool(name: str, description: str, required: str, text: str, **numbers: int) -> dict:
@@ -31,12 +35,12 @@ def _tool(name: str, description: str, required: str, text: str, **numbers: int)
 
 TOOLS = [
     _tool("search_code", "Search lines of code for a text", "query", "Text to search for", max_tokens=2000),
-    _tool("find_symbol", "Find functions, types and other symbols by name", "name", "Name of the symbol", max_tokens=2000),
+    _tool("find_symbol", "Find functions, types and other symbols by name", "name", "Name of the symbol", max_tokens=2000, offset=0),
     _tool("get_context", "The best fragments for a query within a budget of tokens", "query", "Query", max_tokens=2000, max_files=10),
-    _tool("find_callers", "Functions that call a symbol", "symbol", "Name of the symbol", depth=2),
-    _tool("find_callees", "Functions that a symbol calls", "symbol", "Name of the symbol", depth=2),
+    _tool("find_callers", "Functions that call a symbol", "symbol", "Name of the symbol", depth=2, offset=0),
+    _tool("find_callees", "Functions that a symbol calls", "symbol", "Name of the symbol", depth=2, offset=0),
     _tool("get_definition", "Where a symbol is defined, with its source", "symbol", "Name of the symbol"),
-    _tool("find_references", "Symbols that refer to a symbol", "symbol", "Name of the symbol"),
+    _tool("find_references", "Symbols that refer to a symbol", "symbol", "Name of the symbol", offset=0),
 ]
 
 
@@ -187,15 +191,25 @@ class Server:
         row = summary(found).first()
         return f"Found {row['matches'] if row else 0} matches in {row['files'] if row else 0} files"
 
-    def _placed(self, rows, limit: int = 200) -> list:
-        """At most `limit` symbols with their paths, smallest ids first."""
-        few = rows.orderBy("symbol_id").limit(limit)
-        return few.join(self.index.files.select("file_id", "path"), "file_id").orderBy("symbol_id").collect()
+    def _placed(self, rows: DataFrame, limit: int, offset: int = 0, keys: tuple[str, ...] = ("symbol_id",)) -> list:
+        """At most `limit` symbols in order of `keys`, from `offset` on, with their paths."""
+        few = rows.orderBy(*keys).offset(offset).limit(limit)
+        return few.join(self.index.files.select("file_id", "path"), "file_id").orderBy(*keys).collect()
+
+    def _page(self, rows: DataFrame, arguments: dict, show: Callable[[Row], str], none: str, keys: tuple[str, ...] = ("symbol_id",)) -> str:
+        """A page of `rows` from the argument `offset` on, a line each, and how many follow."""
+        offset = int(arguments.get("offset", 0))
+        if offset < 0:
+            raise QueryError("offset is negative")
+        placed = self._placed(rows, PAGE + 1, offset, keys)
+        lines = [show(r) for r in placed[:PAGE]]
+        if len(placed) > PAGE:
+            lines.append(f"{rows.count() - offset - PAGE} more from offset {offset + PAGE}")
+        return "\n".join(lines) or (f"Nothing from offset {offset} on" if offset else none)
 
     def _find_symbol(self, arguments: dict) -> str:
         name = self._text(arguments, "name")
-        rows = self._placed(self.index.find_symbol(name))
-        return "\n".join(f"- {r['name']} ({r['kind']}) at {r['path']}:{r['start_line']}:{r['end_line']}" for r in rows) or f"No symbol {name}"
+        return self._page(self.index.find_symbol(name), arguments, lambda r: f"- {r['name']} ({r['kind']}) at {r['path']}:{r['start_line']}:{r['end_line']}", f"No symbol {name}")
 
     def _get_context(self, arguments: dict) -> str:
         budget = TokenBudget(int(arguments.get("max_tokens", 2000)), int(arguments.get("max_files", 10)))
@@ -204,14 +218,13 @@ class Server:
 
     def _walk(self, arguments: dict, up: bool) -> str:
         name = self._text(arguments, "symbol")
-        roots = [r["symbol_id"] for r in self.index.find_symbol(name).select("symbol_id").limit(1000).collect()]
-        if not roots:
+        roots = self.index.find_symbol(name).select(F.col("symbol_id").alias("root"))
+        if roots.isEmpty():
             return f"No symbol {name}"
         walk = self.index.get_callers_upto if up else self.index.get_callees_upto
-        found = walk(roots, int(arguments.get("depth", 2))).groupBy("node").agg(F.min("depth").alias("depth"))
-        rows = self._placed(found.join(self.index.symbols, found["node"] == self.index.symbols["symbol_id"]))
-        rows = sorted(rows, key=lambda r: (r["depth"], r["symbol_id"]))
-        return "\n".join(f"- {r['name']} ({r['kind']}) at {r['path']}:{r['start_line']} depth {r['depth']}" for r in rows) or f"No {'callers' if up else 'callees'} of {name}"
+        found = cut(walk(roots, int(arguments.get("depth", 2))).groupBy("node").agg(F.min("depth").alias("depth")))
+        rows = found.join(self.index.symbols, found["node"] == self.index.symbols["symbol_id"])
+        return self._page(rows, arguments, lambda r: f"- {r['name']} ({r['kind']}) at {r['path']}:{r['start_line']} depth {r['depth']}", f"No {'callers' if up else 'callees'} of {name}", ("depth", "symbol_id"))
 
     def _get_definition(self, arguments: dict) -> str:
         name = self._text(arguments, "symbol")
@@ -223,5 +236,4 @@ class Server:
 
     def _find_references(self, arguments: dict) -> str:
         name = self._text(arguments, "symbol")
-        rows = self._placed(self.index.find_references(name))
-        return "\n".join(f"- {r['name']} ({r['relationship']}) at {r['path']}:{r['start_line']}" for r in rows) or f"No references to {name}"
+        return self._page(self.index.find_references(name), arguments, lambda r: f"- {r['name']} ({r['relationship']}) at {r['path']}:{r['start_line']}", f"No references to {name}")

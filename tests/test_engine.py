@@ -181,6 +181,30 @@ def test_server(index):
     assert len(replies[0]["result"]["tools"]) == 7 and replies[1]["id"] == 2 and len(replies) == 2
 
 
+def test_server_pages_hot_names(spark):
+    n = 1050
+    rows = [(i, f"f{i:04}.py", ("def top():\n    user_1049()\n\n" if i == 0 else "") + f"def new():\n    pass\n\ndef user_{i}():\n    new()\n") for i in range(n)]
+    server = Server(CodeIndex.from_files(spark, spark.createDataFrame(rows, "file_id long, path string, text string")))
+
+    def pages(tool, **arguments):
+        out, offset = [], 0
+        while True:
+            *lines, last = call(server, tool, offset=offset, **arguments).splitlines()
+            out += lines
+            if " more from offset " not in last:
+                return [*out, last]
+            more, offset = int(last.split()[0]), int(last.split()[-1])
+            assert len(lines) == 200 and more > 0 and offset == len(out)
+
+    assert len(set(pages("find_symbol", name="new"))) == n
+    assert len(set(pages("find_references", symbol="new"))) == n
+    callers = pages("find_callers", symbol="new")
+    assert len(set(callers)) == n + 1 and callers[-1].startswith("- top ") and callers[-1].endswith("depth 2")
+    assert all(c.endswith("depth 1") for c in callers[:-1])
+    assert call(server, "find_symbol", name="new", offset=-1) == -32602
+    assert call(server, "find_symbol", name="new", offset=n) == f"Nothing from offset {n} on"
+
+
 def test_cli(index):
     args = cli.parser().parse_args(["--format", "jsonl", "--", "add"])
     rows = [json.loads(x) for x in cli.answer(index, "add", args).splitlines()]
