@@ -158,18 +158,45 @@ class Scanner:
 
     def _windows(self, name: str, template: list[str], own: list[str], at: list[int], reach: int) -> list[dict]:
         out, done = [], -1
+        count = Counter(template)
         for i in at:
             if i <= done:
                 continue
             # An occurrence that holds this pivot and none before it lies within reach of it.
             low, high = max(done + 1, i - reach), min(len(own), i + reach + 1)
-            pairs = self._dense(patience(own[low:high], template))
-            first, last = (low + pairs[0][0], low + pairs[-1][0]) if pairs else (i, i)
-            if len(pairs) >= self.coverage * len(template) and first <= i <= last:
+            inside = Counter(own[low:high])
+            if sum((inside & count).values()) < self.coverage * len(template):
+                continue
+            pairs = self._held(patience(own[low:high], template), low, i, template)
+            if inside[own[i]] > count[own[i]]:
+                # The window may hold several copies, whose words are no anchors: this pivot is pinned, the others cut off.
+                pinned = [self._held(self._pinned(template, own, i, j, low, high), 0, i, template) for j, w in enumerate(template) if w == own[i]]
+                pairs = max([pairs, *pinned], key=lambda p: (2 * len(p) - (p[-1][0] - p[0][0] + 1), len(p)) if p else (-len(own), 0))
+            if pairs:
+                first, last = pairs[0][0], pairs[-1][0]
                 out.append({"license": name, "first_word": first, "last_word": last, "matched": len(pairs), "coverage": len(pairs) / len(template)})
                 done = last
         return out
 
+    def _held(self, pairs: list[tuple[int, int]], low: int, i: int, template: list[str]) -> list[tuple[int, int]]:
+        """The dense part of `pairs`, in words of the text, if it covers enough of the template and spans word `i`."""
+        pairs = [(low + a, b) for a, b in self._dense(pairs)]
+        return pairs if len(pairs) >= self.coverage * len(template) and pairs[0][0] <= i <= pairs[-1][0] else []
+
+    @staticmethod
+    def _pinned(template: list[str], own: list[str], i: int, j: int, low: int, high: int) -> list[tuple[int, int]]:
+        """Word `i` of the text aligned with word `j` of the template, and both sides of it up to where the word comes
+        again more often than the template has it."""
+        word = template[j]
+        before, after = (side.count(word) for side in (template[:j], template[j + 1 :]))
+        left = [k for k in range(i - 1, low - 1, -1) if own[k] == word]
+        right = [k for k in range(i + 1, high) if own[k] == word]
+        low = left[before] + 1 if len(left) > before else low
+        high = right[after] if len(right) > after else high
+        head = [(low + a, b) for a, b in patience(own[low:i], template[:j])]
+        tail = [(i + 1 + a, j + 1 + b) for a, b in patience(own[i + 1 : high], template[j + 1 :])]
+        return [*head, (i, j), *tail]
+
     def _dense(self, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
         """Drop aligned words from the thinner end until the span is dense enough."""
         while len(pairs) > 1 and len(pairs) < self.density * (pairs[-1][0] - pairs[0][0] + 1):

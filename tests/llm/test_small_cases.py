@@ -234,6 +234,26 @@ def test_licenses(spark, docs, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_adjacent_licenses():
+    line = "Released under the MIT License."
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    spans = lambda text: [(f["license"], f["first_word"], f["last_word"]) for f in scanner.scan(text)]
+    assert spans(f"w0 w1 {line} {line} z") == [("MIT line", 2, 6), ("MIT line", 7, 11)]
+    for name, template in licenses.TEMPLATES.items():
+        n = len(licenses.words(template))
+        for copies in (2, 3, 5):
+            assert spans("w0 w1 " + " ".join([template] * copies) + " z y") == [(name, 2 + n * c, 1 + n * (c + 1)) for c in range(copies)]
+            apart = spans("w0 w1 " + " q r ".join([template] * copies) + " z y")
+            assert apart == [(name, 2 + (n + 2) * c, 1 + n + (n + 2) * c) for c in range(copies)]
+    template = licenses.TEMPLATES["MIT"]
+    changed = template.replace("without restriction", "with no restriction").replace("Software", "Program", 2)
+    n, m = len(licenses.words(template)), len(licenses.words(changed))
+    for texts, sizes in (((changed, template, changed), (m, n, m)), ((changed, changed, changed), (m, m, m)), ((template, changed, template), (n, m, n))):
+        got = spans(f"w0 w1 {' '.join(texts)} z")
+        ends = [sum(sizes[: k + 1]) for k in range(3)]
+        assert got == [("MIT", 2 + e - size, 1 + e) for e, size in zip(ends, sizes, strict=True)]
+
+
 def test_html(spark):
     page = "<html><body><nav><ul><li><a href=/>Home page</a><li><a href=/b>More</a></ul></nav><article><h1>A &amp; B</h1><p>First <b>bold\n text</b> &lt;here&gt; and more words to read.<p>Second paragraph of the article follows here, as it should.</article><script>var x = '<p>no</p>'</script><footer>&copy; someone 2020</footer></body></html>"
     rows = [(1, page, "t", 1), (2, None, None, None), (3, "", None, 2), (None, "<", None, 3), (4, "<p" * 5000, None, 4), (1, page, "t", 1)]
