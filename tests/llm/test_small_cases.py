@@ -254,6 +254,15 @@ def test_adjacent_licenses():
         assert got == [("MIT", 2 + e - size, 1 + e) for e, size in zip(ends, sizes, strict=True)]
 
 
+def test_capitals_of_whole_texts():
+    mostly = lambda text: toxicity.patterns(text)[len(toxicity.MARKS)]
+    for n in (100, 1999, 2000, 3999, 4000, 5999, 6000, 50000):
+        assert mostly("A" * (3 * n // 10 + 1) + "a" * (n - 3 * n // 10 - 1)) == 1
+        assert mostly("a" * (n - 3 * n // 10) + "É" * (3 * n // 10)) == 0
+    assert mostly("Ab" * 4000) == 1 and mostly("aB" * 4000) == 1 and mostly("aaaB" * 4000) == 0 and mostly("Baaa" * 4000) == 0
+    assert mostly("") == 0 and mostly("\ud800" * 10) == 0
+
+
 def test_html(spark):
     page = "<html><body><nav><ul><li><a href=/>Home page</a><li><a href=/b>More</a></ul></nav><article><h1>A &amp; B</h1><p>First <b>bold\n text</b> &lt;here&gt; and more words to read.<p>Second paragraph of the article follows here, as it should.</article><script>var x = '<p>no</p>'</script><footer>&copy; someone 2020</footer></body></html>"
     rows = [(1, page, "t", 1), (2, None, None, None), (3, "", None, 2), (None, "<", None, 3), (4, "<p" * 5000, None, 4), (1, page, "t", 1)]
