@@ -71,21 +71,21 @@ def order() -> list:
 def plan(ranked: DataFrame, files: DataFrame, budget: TokenBudget, compacting: bool = True) -> DataFrame:
     """The greedy plan of each query: `query_id, position, file_id, start_byte, end_byte, start_line, end_line, name, token_count, content`.
 
-    In rank order: stop at `max_symbols`; skip a new file beyond `max_files`, a range already used, and what has no
+    In rank order: stop at `max_symbols`; skip a new file beyond `max_files`, a start already taken, and what has no
     text; what does not fit the rest of the budget is compacted to it, or skipped if that fails or `compacting` is off.
     The budget is hard. A query's candidates are sorted and streamed through its fold, which holds only its state;
-    before that, candidates that no fold could take are cut: repeats of a range, and beyond the first `max_symbols` of
-    one size in one file (as one of these is refused, so are all that follow it). Lines bring their text; the rest of what is
+    before that, candidates that no fold could take are cut: repeats of a range, and beyond the first `2 * max_symbols` of
+    one size in one file (fewer than `max_symbols` find their start taken; as another is refused, so are all that follow). Lines bring their text; the rest of what is
     left is looked up in the files, without a shuffle of the texts while these are few.
     """
-    first = Window.partitionBy("query_id", "file_id", "start_byte").orderBy(*order())
+    first = Window.partitionBy("query_id", "file_id", "start_byte", "end_byte").orderBy(*order())
     single = ranked.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     size = F.col("end_byte") - F.col("start_byte")
     single = single.where(size >= 0).withColumn("_size", F.ceil(size / 4.0))
     if not compacting:
         single = single.where(F.col("_size") <= budget.max_tokens)
         alike = Window.partitionBy("query_id", "file_id", "_size").orderBy(*order())
-        single = single.withColumn("_n", F.row_number().over(alike)).where(F.col("_n") <= budget.max_symbols).drop("_n")
+        single = single.withColumn("_n", F.row_number().over(alike)).where(F.col("_n") <= 2 * budget.max_symbols).drop("_n")
     keys = ["query_id", "total", "source", "file_id", "start_byte", "symbol_id", "end_byte", "start_line", "end_line", "name"]
     single = cut(single.select(*keys, "content"))
     texts = files.select("file_id", F.encode("text", "UTF-8").alias("_content"))
@@ -121,13 +121,15 @@ class Fold:
 
     def __init__(self, budget: TokenBudget, compacting: bool):
         self.budget, self.compacting = budget, compacting
-        self.used, self.n, self.files = 0, 0, set()
+        self.used, self.n, self.files, self.starts = 0, 0, set(), set()
 
     def take(self, row: dict) -> dict | None:
         """The fragment made of a candidate, or None if it is refused."""
         left = self.budget.max_tokens - self.used
         if self.n >= self.budget.max_symbols or left <= 0 or row["content"] is None:
             return None
+        if (row["file_id"], row["start_byte"]) in self.starts:
+            return None
         if row["file_id"] not in self.files and len(self.files) >= self.budget.max_files:
             return None
         content, tokens = row["content"], row["token_count"]
@@ -138,6 +140,7 @@ class Fold:
             tokens = -(-len(content.encode("utf-8", "surrogatepass")) // 4)
         self.used += tokens
         self.files.add(row["file_id"])
+        self.starts.add((row["file_id"], row["start_byte"]))
         self.n += 1
         return row | {"content": content, "token_count": tokens, "position": self.n - 1}
 

@@ -153,3 +153,21 @@ def test_plan_invariants(spark, compacting):
         assert [(r["file_id"], r["start_byte"], r["token_count"]) for r in got] == brute_plan(ordered, budget, compacting)
         assert sum(r["token_count"] for r in got) <= budget.max_tokens
         assert len({r["file_id"] for r in got}) <= budget.max_files and len(got) <= budget.max_symbols
+
+
+@pytest.mark.parametrize("compacting", [True, False])
+def test_plan_takes_a_line_where_a_longer_range_is_refused(spark, compacting):
+    text = "\n".join(["w" * 30] * 10)
+    own = files(spark, [text, text])
+    asked = semantic.query_frame(spark, {1: "w"})
+    whole = spark.createDataFrame([(i, "w", "Function", i, 0, len(text), 1, 10) for i in range(2)], "symbol_id long, name string, kind string, file_id long, start_byte long, end_byte long, start_line int, end_line int")
+    found = lexical.search_many(lexical.lines(own), {1: ("w", "exact")})
+    ranked = planning.rank(planning.symbol_candidates(whole, asked).unionByName(planning.lexical_candidates(found, asked)))
+    ordered = [r.asDict() for r in ranked.orderBy(*planning.order()).collect()]
+    for r in ordered:
+        r["content"] = text[r["start_byte"] : r["end_byte"]]
+    for budget in (planning.TokenBudget(16), planning.TokenBudget(60), planning.TokenBudget(90), planning.TokenBudget(200, 2, 3), planning.TokenBudget(200)):
+        want = brute_plan(ordered, budget, compacting)
+        got = planning.plan(ranked, own, budget, compacting).orderBy("position").collect()
+        assert [(r["file_id"], r["start_byte"], r["token_count"]) for r in got] == want
+        assert compacting or budget.max_tokens > 60 or (0, 0, 8) in want
