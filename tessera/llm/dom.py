@@ -6,8 +6,8 @@ import html
 import re
 from dataclasses import dataclass
 
-#: Elements whose content is never text of the page.
-SKIPPED = frozenset("script style noscript template svg math iframe object canvas audio video head title textarea select datalist".split())
+#: Elements whose content is never text of the page. Formulas (but their annotations) and the fallback of objects are text.
+SKIPPED = frozenset("script style noscript template svg annotation annotation-xml iframe canvas audio video head title textarea select datalist".split())
 #: Of these, the ones whose content has no tags: it ends only at their end tag.
 RAW = frozenset("script style noscript iframe title textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())

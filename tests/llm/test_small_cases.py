@@ -234,6 +234,13 @@ def test_licenses(spark, docs, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_formulas_and_fallbacks_are_text():
+    from tessera.llm import dom
+
+    page = "<p>If <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x = 2 TeX</annotation><annotation-xml><ci>x</ci></annotation-xml></semantics></math> then <object data=a><param name=b>see <i>this</i></object> end.<svg><text>no</text></svg>"
+    assert [b.text for b in dom.blocks(page)] == ["If x=2 then see this end."]
+
+
 def test_adjacent_licenses():
     line = "Released under the MIT License."
     scanner = licenses.Scanner(licenses.TEMPLATES)
