@@ -14,6 +14,7 @@ Groups over a bound of rows or bytes are dealt as pairs of bounded blocks, so no
 from __future__ import annotations
 
 from collections.abc import Iterable
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +27,26 @@ from tessera.llm.shingles import fingerprint, shingle_set
 #: Values of a sketch, and the fewest that similar sets share: P(Binomial(32, 0.8) < 12) is below 1e-7.
 SKETCH = 32
 SHARED = 12
-#: A member this alike to its leader (of SKETCH values) needs no turn as leader: the leader stands for it.
+#: Chance to miss a link, at most, where links of less similarity need fewer shared values.
+MISSED = 1e-7
+#: A member this alike to its leader (of SKETCH values) needs no turn as leader: the leader stands for it. So for links of
+#: 80 percent or more; for looser ones every member takes its turn.
 CLOSE = 29
 #: Members of a list, and shingles of a group of likely links, in one block.
 LIST_ROWS = 4096
 GROUP_SHINGLES = 1_000_000
 
 
+def least_shared(percent: int) -> int:
+    """The fewest values that the sketches of sets of `percent` similarity share, but for a chance of MISSED."""
+    below, k = 0.0, 0
+    while k <= SHARED and (below := below + comb(SKETCH, k) * (percent / 100) ** k * (1 - percent / 100) ** (SKETCH - k)) < MISSED:
+        k += 1
+    if not k or percent > 100:
+        raise ValueError(f"percent is {percent}: links below 40 percent may share no value of their sketches, above 100 there are none")
+    return min(SHARED, k)
+
+
 def signatures(df: DataFrame, words: int, lower: bool, id_col: str, text_col: str) -> DataFrame:
     """`id, n, print binary, sketch array<long>` of each row; texts without words have no print and an empty sketch."""
 
@@ -45,13 +59,15 @@ def signatures(df: DataFrame, words: int, lower: bool, id_col: str, text_col: st
 
 
 def links(df: DataFrame, words: int = 5, percent: int = 80, lower: bool = False, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The signatures of `df` and edges `a, b` that join exactly the documents that links of `percent` similarity join."""
+    """The signatures of `df` and edges `a, b` that join exactly the documents that links of `percent` similarity join.
+    `percent` is 40 to 100."""
+    shared = least_shared(percent)
     signed = cut(signatures(df, words, lower, id_col, text_col))
     named = signed.where("id is not null and print is not null")
     # Written aside, so that both sides of later joins are plain exchanges, whose hot partitions Spark can split.
     sets = cut(named.groupBy("print").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch")))
     copies = named.select("print", F.col("id").alias("a")).join(sets.select("print", F.col("id").alias("b")), "print").where("a <> b").select("a", "b").distinct()
-    likely = components(_likely(sets.select("id", "sketch")))
+    likely = components(_likely(sets.select("id", "sketch"), percent, shared))
     exact = _verified(df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text")), likely, signed, words, percent, lower)
     return signed, cut(copies.unionByName(exact))
 
@@ -59,7 +75,7 @@ def links(df: DataFrame, words: int = 5, percent: int = 80, lower: bool = False,
 def classes(df: DataFrame, words: int = 5, percent: int = 80, lower: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`id_col, n_shingles, component_id, kept` for each row of `df`.
 
-    Documents are linked when 100 * intersection >= percent * union of their shingle sets; `component_id` is the
+    Documents are linked when 100 * intersection >= percent * union of their shingle sets (`percent` from 40 to 100); `component_id` is the
     smallest id reachable over links, itself included. Null and empty texts, and texts of blanks, have an empty set and
     no link. Rows with a null id get a null component, no link, and are kept. Rows that repeat an id are one document
     that has all their sets; each keeps its row. Other columns are not read. An empty table gives an empty result.
@@ -87,12 +103,13 @@ def in_blocks(rows: DataFrame, key: str, id_col: str, blocks: Column) -> DataFra
     return dealt.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("own", "other", "blocks")
 
 
-def _likely(sets: DataFrame) -> DataFrame:
-    """Edges `a, b` of likely links between representatives `id, sketch`."""
+def _likely(sets: DataFrame, percent: int, fewest: int) -> DataFrame:
+    """Edges `a, b` of likely links between representatives `id, sketch`, which share `fewest` values."""
+    close = CLOSE if percent >= 80 else SKETCH + 1
     values = sets.select("id", F.explode("sketch").alias("value"))
     counted = cut(values.groupBy("value").agg(F.count("*").alias("rows")).where("rows > 1"))
     shared = values.join(counted, "value").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rows", "value"))).alias("shared"))
-    need = F.least(F.lit(SHARED), F.ceil(F.size("sketch") * 0.8)).cast("int")
+    need = F.least(F.lit(fewest), F.ceil(F.size("sketch") * percent / 100)).cast("int")
     rare = sets.join(shared, "id").withColumn("spare", F.size("shared") - need + 1).where("spare > 0")
     listed = rare.select("id", "sketch", F.explode(F.slice("shared", F.lit(1), F.col("spare"))).alias("at")).select("id", "sketch", "at.value", "at.rows")
     dealt = in_blocks(listed, "value", "id", F.ceil(F.col("rows") / LIST_ROWS))
@@ -101,7 +118,7 @@ def _likely(sets: DataFrame) -> DataFrame:
         if sum(s.num_rows for s in slices) > 1:
             rows = pa.Table.from_batches(slices)
             order = np.argsort(rows["id"].to_numpy(), kind="stable")
-            a, b = forest(rows["id"].to_numpy()[order], _padded(rows["sketch"], order))
+            a, b = forest(rows["id"].to_numpy()[order], _padded(rows["sketch"], order), fewest, close)
             if len(a):
                 yield {"a": a, "b": b}
 
@@ -133,7 +150,7 @@ def estimates(leader: np.ndarray, size: int, sketches: np.ndarray, sizes: np.nda
     return (both & (rank < SKETCH)).sum(axis=1) * SKETCH / union
 
 
-def forest(ids: np.ndarray, padded: tuple[np.ndarray, np.ndarray]) -> tuple[list[int], list[int]]:
+def forest(ids: np.ndarray, padded: tuple[np.ndarray, np.ndarray], fewest: int = SHARED, close: int = CLOSE) -> tuple[list[int], list[int]]:
     """Links from members of a list to the least id of their class of likely links; ids ascend."""
     sketches, sizes = padded
     label = np.arange(len(ids))
@@ -144,10 +161,10 @@ def forest(ids: np.ndarray, padded: tuple[np.ndarray, np.ndarray]) -> tuple[list
             break
         at = waiting[0]
         alike = estimates(sketches[at], int(sizes[at]), sketches, sizes)
-        joined = np.unique(label[alike >= SHARED])
+        joined = np.unique(label[alike >= fewest])
         label[np.isin(label, joined)] = joined.min() if len(joined) else label[at]
         turn[at] = False
-        turn[alike >= CLOSE] = False
+        turn[alike >= close] = False
     hung = np.flatnonzero(label != np.arange(len(ids)))
     a, b = ids[hung], ids[label[hung]]
     return a[a != b].tolist(), b[a != b].tolist()

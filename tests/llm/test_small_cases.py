@@ -110,6 +110,31 @@ def test_minhash(spark, docs, none):
     assert kept.columns == docs.columns and kept.count() == len(ROWS) - 1
 
 
+def test_minhash_of_looser_links(spark):
+    draw = np.random.default_rng(6)
+    texts = [" ".join(f"a{i}{x}" for x in range(n)) for i, n in enumerate([1, 2, 3, 4, 6, 9, 20, 60, 200] * 4)]
+    for t in list(texts):
+        own = t.split()
+        for share in (0.6, 0.7, 0.8):
+            texts.append(" ".join([*own[: max(1, round(len(own) * share))], *(f"b{x}" for x in draw.integers(0, 10**9, round(len(own) * (1 - share))))]))
+    rows = list(enumerate(texts))
+    for percent in (50, 60, 80):
+        got = {r["doc_id"]: r["component_id"] for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string"), words=1, percent=percent).collect()}
+        sets = [set(t.split()) for t in texts]
+        want = list(range(len(sets)))
+        for a in range(len(sets)):
+            for b in range(a):
+                both = len(sets[a] & sets[b])
+                if both and 100 * both >= percent * len(sets[a] | sets[b]):
+                    low, high = sorted((want[a], want[b]))
+                    want = [low if x == high else x for x in want]
+        assert got == dict(enumerate(want))
+    assert minhash.least_shared(80) == minhash.least_shared(100) == minhash.SHARED
+    for percent in (30, 101):
+        with pytest.raises(ValueError):
+            minhash.classes(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent)
+
+
 def test_debruijn(spark, docs, none):
     got = by_id(debruijn.apply(docs, debruijn.digest, "n_words long, n_removed long, kept_sha256 string", ["doc_id"]).collect())
     assert got[7][0]["n_removed"] == 120 and got[7][0]["kept_sha256"] == hashlib.sha256(b"more").hexdigest()
