@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources.lineage import cut
+from tessera.sources.lineage import cut, release
 
 #: Rows and bytes of an Arrow batch sent to Python: they bound a worker's memory when rows are long.
 BATCH_ROWS = 512
@@ -98,7 +98,7 @@ def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
         return to_arrow_schema(parsed)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of `edges(a long, b long)`: `node long, component long`, the smallest id reachable.
 
     Alternating large-star and small-star steps; every step is a pre-aggregated group-by and an equi-join, the driver
@@ -106,7 +106,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     pairs = edges.where("a is not null and b is not null and a <> b")
     now = cut(pairs.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
-    for _ in range(max_rounds):
+    context = edges.sparkSession.sparkContext
+    while True:
         # A star forest is the fixed point: each node hangs once and no root hangs itself.
         hung = now.select("v", F.lit(1).alias("hangs")).unionByName(now.select(F.col("u").alias("v"), F.lit(0).alias("hangs")).distinct())
         per_node = hung.groupBy("v").agg(F.sum("hangs").alias("n"), F.min("hangs").alias("root"))
@@ -114,12 +115,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
         # Written aside, so that both sides of the join are plain exchanges, whose hot partitions Spark can split.
-        least = cut(both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("m", "v").alias("m")))
-        large = cut(both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct())
+        near = cut(both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("m", "v").alias("m")))
+        large = cut(both.join(near, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct())
         least = cut(large.groupBy("v").agg(F.min("u").alias("m")))
         hooks = large.join(least, "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
+        before = now
         now = cut(hooks.unionByName(least.select("v", F.col("m").alias("u"))).distinct())
-    else:
-        raise RuntimeError("components did not settle")
+        release(context, before, near, large, least)
     roots = now.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
     return now.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(roots)

@@ -50,7 +50,7 @@ class Words(dict):
 
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()) or r"(?!)")
         self.pieces = _Pieces(self.whole.model)
 
     def __missing__(self, chunk: str) -> bytes:
@@ -69,8 +69,12 @@ class Words(dict):
         return packed
 
     def encode(self, text: str | None) -> bytes:
-        """Packed ids of a whole text; null is the empty text. Strings of special tokens are ordinary text."""
+        """Packed ids of a whole text; null is the empty text. A text that holds the string of an added token, which may
+        reach over chunks, goes whole through the library."""
         text = text or ""
+        if self.special.search(text):
+            ids = self.whole.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
         # str.split also parts at four control characters, which the file's rule takes as visible.
         parts = BLANKS.split(text) if any(c in text for c in SEPARATORS) else text.split()
         return b"".join(map(self.__getitem__, filter(None, parts)))

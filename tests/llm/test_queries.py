@@ -12,9 +12,10 @@ import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import bpe, crf, debruijn, licenses, minhash, packing
+from tessera.llm import bpe, crf, debruijn, licenses, minhash, packing, word_bpe
 from tessera.llm.queries import ORACLES, QUERIES
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -90,7 +91,6 @@ def test_byte_bpe(spark):
 
 def check_packed(packed, texts):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    library.encode_special_tokens = True
     own, bins = defaultdict(list), defaultdict(list)
     for r in packed:
         own[r["doc_id"]].append(r)
@@ -133,14 +133,30 @@ def test_best_fit(spark):
     assert bins <= 1.05 * -(-total // 4096) + 1
 
 
-def test_best_fit_plan_equals_the_sequential_one():
+def test_best_fit_rounds_against_the_sequential_one(spark):
     draw = np.random.default_rng(2)
-    for capacity in (7, 50, 4096):
-        for _ in range(30):
-            lengths = draw.integers(1, capacity + 1 if draw.random() < 0.5 else max(2, capacity // 3), draw.integers(0, 300)).tolist()
-            made = packing.plan(dict(Counter(lengths)), capacity)
-            bins = {b for _, _, _, count, _, first, _ in made.tolist() for b in range(first, first + count)}
-            assert len(bins) == best_fit(sorted(lengths, reverse=True), capacity)
+    for capacity, low, high, n in ((7, 1, 7, 300), (50, 1, 16, 300), (4096, 1, 4096, 400), (4096, 500, 1500, 400)):
+        lengths = draw.integers(low, high + 1, n).tolist()
+        packed = packing.pack(spark.createDataFrame([(x,) for x in lengths], "length long"), capacity, [F.col("length")]).collect()
+        bins = defaultdict(list)
+        for r in packed:
+            bins[r["sequence_id"]].append((r["offset"], r["length"]))
+        for places in bins.values():
+            assert [o for o, _ in sorted(places)] == [0, *np.cumsum([n for _, n in sorted(places)])[:-1].tolist()]
+            assert sum(n for _, n in places) <= capacity
+        assert sorted(n for places in bins.values() for _, n in places) == sorted(lengths)
+        best = best_fit(sorted(lengths, reverse=True), capacity)
+        assert len(bins) <= best + best // 50 + (capacity == 4096)
+
+
+def test_ids_of_texts_with_special_strings_equal_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), word_bpe.words(path)
+    draw = np.random.default_rng(3)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|end", "oftext|>", " ", "a", "don't", "\n", "é", "A\u0301", "<", "|>", "\x1c", "7", "東京"]
+    for _ in range(3000):
+        text = "".join(draw.choice(parts, draw.integers(0, 9)))
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
 def test_html(spark):

@@ -62,7 +62,6 @@ def test_bpe_boundaries_change_no_ids(monkeypatch):
 def test_packing(spark, docs, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     capacity = 64
     pieces = packing.piece_digests(docs, path, capacity, 1)
     packed = packing.pack(pieces, capacity, [F.col(c) for c in ("doc_id", "piece", "ids_crc32")]).collect()
