@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import map_groups
 
-#: Rows of a block of candidates and of a block of queries: a task holds one of each, about 20 MB at 128 dimensions.
+#: Rows of a block of candidates and of a lot of queries: a task holds one of each, about 20 MB at 128 dimensions.
 CANDIDATE_ROWS = 16384
 QUERY_ROWS = 2048
 
-#: fn(candidate ids, candidate vectors, query ids, query vectors) -> query_id, vec_id, score
-Search = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], dict[str, list]]
+#: What a block of candidates is made into once: each lot of queries is then asked of it.
+Index = Callable[[pa.Table], dict[str, list]]
 
 
 def usable(vector: str, zero: bool) -> Column:
@@ -27,44 +27,44 @@ def usable(vector: str, zero: bool) -> Column:
     return kept if zero else kept & F.exists(vector, lambda x: x != 0)
 
 
-def search(vectors: DataFrame, is_query: Column, fn: Search, k: int, score: str, nearest: bool) -> DataFrame:
-    """The best `k` candidates of each query over `vectors(vec_id long, v array<double>)`.
+def single(df: DataFrame, is_query: Column, id_col: str, vector_col: str, zero: bool) -> DataFrame:
+    """`key, id, dim, v array<double>, asks` of the rows that take part, each pair of id and vector once."""
+    whole = df.select(df[id_col].cast("long").alias("id"), df[vector_col].cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    kept = whole.where(F.col("id").isNotNull() & usable("v", zero)).withColumns({"key": F.xxhash64("id", "v"), "dim": F.size("v")})
+    return kept.groupBy("key").agg(*(F.first(c).alias(c) for c in ("id", "dim", "v")), F.max("asks").alias("asks"))
 
-    Candidates and queries are dealt by a hash of vec_id into blocks of bounded size, every pair of blocks is one group
-    of one task, and each group returns at most `k` rows a query. The merge ranks those rows; ties go to smaller ids.
-    """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    counted = rows.agg(F.count("*").alias("n"), F.sum(F.col("asks").cast("long")).alias("q")).first()
-    blocks, asking = max(1, ceil(counted["n"] / CANDIDATE_ROWS)), max(1, ceil((counted["q"] or 0) / QUERY_ROWS))
-    spread = F.xxhash64("id", F.lit(1))
-    columns = [F.col("dim"), F.col("block").cast("int").alias("block"), F.col("asking").cast("int").alias("asking"), "side", "id", "v"]
-    rows = rows.withColumn("dim", F.size("v"))
-    candidates = rows.withColumns({"block": F.pmod(spread, F.lit(blocks)), "asking": F.explode(F.sequence(F.lit(0), F.lit(asking - 1))), "side": F.lit(0)})
-    queries = rows.where("asks").withColumns({"asking": F.pmod(spread, F.lit(asking)), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), "side": F.lit(1)})
-
-    def group(_: tuple, slices: list[pa.RecordBatch]) -> Iterable[dict[str, list]]:
-        ids, side, v = _arrays(slices)
-        if side.any() and not side.all():
-            yield fn(ids[side == 0], v[side == 0], ids[side == 1], v[side == 1])
-
-    both = candidates.select(*columns).unionByName(queries.select(*columns))
-    found = map_groups(both, ["dim", "block", "asking"], group, f"query_id long, vec_id long, score {score}")
-    best = F.col("score").asc() if nearest else F.col("score").desc()
-    order = Window.partitionBy("query_id").orderBy(best, F.col("vec_id").asc())
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
+def ask(candidates: DataFrame, queries: DataFrame, build: Callable[[pa.Table], Index], schema: str) -> DataFrame:
+    """Every query against every candidate of its `dim`; both have the same columns, among them `dim` and a unique `key`.
 
-def _arrays(slices: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    joined = pa.Table.from_batches(slices).combine_chunks()
-    ids = joined["id"].to_numpy()
-    lists = joined["v"].chunk(0)
-    return ids, joined["side"].to_numpy(), lists.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+    Candidates are dealt by key into blocks of bounded size, each row once. Queries go to every block in lots of bounded
+    size: they are a stated set. A task builds a block's index once and then streams the lots through it.
+    """
+    n, q = candidates.count(), queries.count()
+    blocks, lots = max(1, ceil(n / CANDIDATE_ROWS)), max(1, ceil(q / QUERY_ROWS))
+    held = candidates.withColumns({"block": F.pmod("key", F.lit(blocks)), "lot": F.lit(0).cast("long")})
+    asked = queries.withColumns({"block": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))), "lot": 1 + F.pmod(F.xxhash64("key"), F.lit(lots))})
+    index: dict[tuple, Index] = {}
+
+    def group(at: tuple, slices: list[pa.RecordBatch]) -> Iterable[dict[str, list]]:
+        table = pa.Table.from_batches(slices).combine_chunks()
+        if at[2] == 0:
+            index.clear()
+            index[at[:2]] = build(table)
+        elif at[:2] in index:
+            yield index[at[:2]](table)
+
+    return map_groups(held.unionByName(asked), ["dim", "block", "lot"], group, schema, dealt_by=["dim", "block"])
+
+
+def best(found: DataFrame, k: int, score: Column) -> DataFrame:
+    """The first `k` of each query in order of `score`, ties to smaller ids: `query_id, rank (from 1), vec_id, score`."""
+    order = Window.partitionBy("query_id").orderBy(score, F.col("vec_id").asc())
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def first_of_repeats(ids: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows without repeats of the same id and vector, in order of id."""
-    order = np.lexsort((*v.T[::-1], ids))
-    ids, v = ids[order], v[order]
-    new = np.ones(len(ids), bool)
-    new[1:] = (ids[1:] != ids[:-1]) | (v[1:] != v[:-1]).any(axis=1)
-    return ids[new], v[new]
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of lists of one length by rows."""
+    lists = column.combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)

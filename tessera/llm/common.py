@@ -53,15 +53,16 @@ def filter_rows(df: DataFrame, column: str, fn: Callable[[list], list[bool]]) ->
     return df.mapInArrow(run, df.schema)
 
 
-def map_groups(df: DataFrame, keys: list[str], fn: Callable[[tuple, list[pa.RecordBatch]], Iterable[dict[str, list]]], schema: str, partitions: int | None = None) -> DataFrame:
+def map_groups(df: DataFrame, keys: list[str], fn: Callable[[tuple, list[pa.RecordBatch]], Iterable[dict[str, list]]], schema: str, dealt_by: list[str] | None = None) -> DataFrame:
     """Stream groups of rows with equal `keys`: `fn(key, slices)` is called once per group with zero-copy batch slices.
 
-    Rows are dealt by hash of the keys and sorted, so a task holds one group at a time. Callers bound a group's size.
+    Rows are dealt by hash of the keys (or of the first of them, `dealt_by`) and sorted, so a task holds one group at a
+    time, in order of the keys. Callers bound a group's size.
     """
     spark = df.sparkSession
     set_batches(spark)
     arrow = _arrow_schema(spark, schema)
-    dealt = df.repartition(partitions, *keys) if partitions else df.repartition(*keys)
+    dealt = df.repartition(*(dealt_by or keys))
 
     def emit(outs: Iterable[dict[str, list]]) -> Iterator[pa.RecordBatch]:
         for out in outs:

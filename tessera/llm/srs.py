@@ -1,33 +1,40 @@
 """Approximate nearest neighbours by low-dimensional stable projections indexed by a kd-tree.
 
 Gaussian projections keep distances: the squared projected distance over the squared distance follows a chi-square law
-with as many degrees of freedom as projections. A query visits the projected points in order of distance, verifies them
-on the original vectors, and stops when a nearer point than the kth found would with high probability have been seen.
+with as many degrees of freedom as projections. A query takes its neighbours in the projected space one by one in order
+of distance, the boxes of the tree opened only as far as that order asks; each is verified on its original vector, and
+the query stops when a nearer point than the kth found would with high probability have been seen.
 """
 
 from __future__ import annotations
 
-from math import exp, factorial
+from collections.abc import Iterator
+from math import exp
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import blocks
 
-#: Projections (even, so that the chi-square law has a closed form), rows of a leaf, leaves visited between two tests.
-PROJECTIONS = 8
+#: Projections (even, so that the chi-square law has a closed form), rows of a leaf, points verified between two tests.
+PROJECTIONS = 16
 LEAF = 64
-STEP = 4
+STEP = 16
 #: Probability that a nearer point would have been seen, at which a query stops.
-CERTAINTY = 0.98
+CERTAINTY = 0.95
 
 
 def chi_square(x: float, freedom: int) -> float:
     """Distribution function of the chi-square law for an even number of degrees of freedom."""
     if x >= 1400:
         return 1.0
-    return 1.0 - exp(-x / 2) * sum((x / 2) ** i / factorial(i) for i in range(freedom // 2))
+    term = total = 1.0
+    for i in range(1, freedom // 2):
+        term *= x / 2 / i
+        total += term
+    return 1.0 - exp(-x / 2) * total
 
 
 def projection(dim: int, m: int = PROJECTIONS) -> np.ndarray:
@@ -39,6 +46,7 @@ class Tree:
     """A kd-tree over projected points: split at the median of the widest side until a leaf holds few rows."""
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF):
+        self.points = points
         self.leaves: list[np.ndarray] = []
         stack = [np.arange(len(points))]
         while stack:
@@ -53,46 +61,57 @@ class Tree:
         self.low = np.array([points[rows].min(axis=0) for rows in self.leaves])
         self.high = np.array([points[rows].max(axis=0) for rows in self.leaves])
 
-    def visit(self, point: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Leaves in order of the squared distance from `point` to their boxes, and those distances."""
+    def neighbours(self, point: np.ndarray, step: int = STEP) -> Iterator[tuple[np.ndarray, float]]:
+        """Rows in order of their squared distance from `point`, `step` at a time, with the distance of the first.
+
+        A leaf is opened when the next row might lie in it: its box is no farther than the nearest row not yet given.
+        """
         gap = np.maximum(0, np.maximum(self.low - point, point - self.high))
         far = (gap * gap).sum(axis=1)
         order = np.argsort(far, kind="stable")
-        return order, far[order]
-
-
-def nearest(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, certainty: float = CERTAINTY) -> dict[str, list]:
-    """The `k` nearest found in a block for each query. Equal vectors are one point with its k + 1 smallest ids."""
-    ids, v = blocks.first_of_repeats(ids, v)
-    query_ids, queries = blocks.first_of_repeats(query_ids, queries)
-    order = np.lexsort((ids, *v.T[::-1]))
-    ids, v = ids[order], v[order]
-    first = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]).any(axis=1)]))
-    ends = np.append(first[1:], len(ids))
-    points = v[first]
-    matrix = projection(v.shape[1])
-    tree, asked = Tree(points @ matrix), queries @ matrix
-    out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-    for own, q, at in zip(query_ids, queries, asked, strict=True):
-        leaves, far = tree.visit(at)
+        far = np.append(far[order], np.inf)
+        rows, distance, opened = np.empty(0, np.int64), np.empty(0), 0
+        while len(rows) or opened < len(order):
+            while np.count_nonzero(distance <= far[opened]) < step and opened < len(order):
+                more = self.leaves[order[opened]]
+                opened += 1
+                away = ((self.points[more] - point) ** 2).sum(axis=1)
+                rows, distance = np.concatenate([rows, more]), np.concatenate([distance, away])
+            sort = np.argsort(distance, kind="stable")
+            given = sort[:step]
+            yield rows[given], float(distance[given[0]])
+            rows, distance = rows[sort[step:]], distance[sort[step:]]
+
+
+class Points:
+    """A block of vectors indexed by its projections. Equal vectors are one point with its k + 1 smallest ids."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, k: int, certainty: float = CERTAINTY):
+        self.k, self.certainty = k, certainty
+        order = np.lexsort((ids, *v.T[::-1]))
+        ids, v = ids[order], v[order]
+        first = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]).any(axis=1)]))
+        ends = np.minimum(np.append(first[1:], len(ids)), first + k + 1)
+        self.ids = [ids[a:b] for a, b in zip(first, ends, strict=True)]
+        self.points = v[first]
+        self.matrix = projection(v.shape[1])
+        self.tree = Tree(self.points @ self.matrix)
+        self.verified = 0
+
+    def nearest(self, own: int, q: np.ndarray) -> list[tuple[float, int]]:
+        """Distance and id of the nearest found, nearest first."""
         best: list[tuple[float, int]] = []
-        for start in range(0, len(leaves), STEP):
-            if len(best) == k and far[start] > 0:
+        for rows, far in self.tree.neighbours(q @ self.matrix):
+            if len(best) == self.k and far > 0:
                 kth = best[-1][0] ** 2
-                if kth == 0 or chi_square(far[start] / kth, matrix.shape[1]) >= certainty:
+                if kth == 0 or chi_square(far / kth, self.matrix.shape[1]) >= self.certainty:
                     break
-            rows = np.concatenate([tree.leaves[i] for i in leaves[start : start + STEP]])
-            distance = np.sqrt(((points[rows] - q) ** 2).sum(axis=1))
-            limit = best[-1][0] if len(best) == k else np.inf if len(rows) <= k else np.partition(distance, k)[k]
-            near = np.flatnonzero(distance <= limit)
-            for j in near:
-                p = rows[j]
-                best += [(float(distance[j]), int(i)) for i in ids[first[p] : min(ends[p], first[p] + k + 1)] if i != own]
-            best = sorted(best)[:k]
-        out["query_id"] += [int(own)] * len(best)
-        out["vec_id"] += [i for _, i in best]
-        out["score"] += [d for d, _ in best]
-    return out
+            self.verified += len(rows)
+            distance = np.sqrt(((self.points[rows] - q) ** 2).sum(axis=1))
+            near = np.flatnonzero(distance <= best[-1][0]) if len(best) == self.k else range(len(rows))
+            if len(near):
+                best = sorted([*best, *((float(distance[j]), int(i)) for j in near for i in self.ids[rows[j]] if i != own)])[: self.k]
+        return best
 
 
 def search(df: DataFrame, is_query: Column, k: int, certainty: float = CERTAINTY, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -103,7 +122,17 @@ def search(df: DataFrame, is_query: Column, k: int, certainty: float = CERTAINTY
     length are compared. A repeated row of the same id and vector counts once. Ties go to the smaller id. Fewer than
     `k` candidates: all of them. An empty table gives an empty result; other columns are not read.
     """
-    whole = df.select(df[id_col].alias("vec_id"), df[vector_col].cast("array<double>").alias("v"), is_query.alias("asks"))
-    kept = whole.where(F.col("vec_id").isNotNull() & blocks.usable("v", zero=False))
-    fn = lambda ids, v, query_ids, q: nearest(ids, v, query_ids, q, k, certainty)
-    return blocks.search(kept, F.col("asks"), fn, k, "double", nearest=True)
+    rows = blocks.single(df, is_query, id_col, vector_col, zero=False)
+
+    def build(table: pa.Table) -> blocks.Index:
+        points = Points(table["id"].to_numpy(), blocks.matrix(table["v"]), k, certainty)
+
+        def ask(queries: pa.Table) -> dict[str, list]:
+            found = [(own, i, d) for own, q in zip(queries["id"].to_pylist(), blocks.matrix(queries["v"]), strict=True) for d, i in points.nearest(own, q)]
+            return dict(zip(("query_id", "vec_id", "score"), zip(*found, strict=True) if found else ((), (), ()), strict=True))
+
+        return ask
+
+    columns = ["key", "id", "dim", "v"]
+    found = blocks.ask(rows.select(*columns), rows.where("asks").select(*columns), build, "query_id long, vec_id long, score double")
+    return blocks.best(found, k, F.col("score").asc())

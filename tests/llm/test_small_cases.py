@@ -188,13 +188,38 @@ def test_va_file(spark):
     assert va_file.search(spark.createDataFrame([], VECTORS), F.lit(True), k=5).count() == 0
 
 
-def test_va_file_of_large_values_is_exact():
+def test_va_file_of_large_values_is_exact(spark):
     draw = np.random.default_rng(5)
     v = np.floor(draw.normal(size=(80, 4)) * 1e15)
-    out = va_file.top_k(np.arange(80), v, np.arange(3), v[:3], 5)
-    for q in range(3):
-        want = sorted((-sum(int(a) * int(b) for a, b in zip(v[q], v[i], strict=True)), i) for i in range(80) if i != q)[:5]
-        assert [(-s, i) for o, i, s in zip(out["query_id"], out["vec_id"], out["score"], strict=True) if o == q] == want
+    for a, b in zip(v[:40], v[40:], strict=True):
+        exact = sum(int(x) * int(y) for x, y in zip(a, b, strict=True))
+        if -(1 << 63) <= exact < 1 << 63:
+            assert va_file.product(a.tolist(), b.tolist()) == exact
+        else:
+            with pytest.raises(OverflowError):
+                va_file.product(a.tolist(), b.tolist())
+    # Components whose scaled floor a long could not hold, or only beyond 2^55; the scores fit a long.
+    rows = [(i, [float(2**70) * (i % 3 == j) for j in range(3)] + [float(2**50 + i)]) for i in range(30)] + [(100, [0.0, 0.0, 0.0, 1 / 256])]
+    got = va_file.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 100, k=3).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(n + 1, i, 2**58 + 256 * i) for n, i in enumerate((29, 28, 27))]
+
+
+def test_va_file_bounds_hold_and_leave_few():
+    draw = np.random.default_rng(6)
+    v = np.floor(draw.normal(size=(2000, 64)) * 32)
+    grid = va_file.Grid(v.min(axis=0), v.max(axis=0))
+    packed = grid.cells(v)
+    assert len(packed[0]) == 64 * va_file.BITS // 8
+    centres, q = grid.centres(packed), v[:20]
+    assert (np.abs(v - centres) <= grid.step / 2 * (1 + 1e-9)).all()
+    assert (np.abs(q @ v.T - q @ centres.T) <= grid.width(q)[:, None]).all()
+    ids = np.arange(len(v))
+    out = va_file.scan(grid, ids, ids, centres, ids[:20], ids[:20], q, 5)
+    for own in range(20):
+        kept = {c for a, c in zip(out["query_id"], out["vec_key"], strict=True) if a == own}
+        scores = q[own] @ v.T
+        scores[own] = -np.inf
+        assert set(np.argsort(-scores)[:5]) <= kept and len(kept) < 200
 
 
 def test_srs(spark):
@@ -215,6 +240,24 @@ def test_srs(spark):
     assert srs.search(spark.createDataFrame([], VECTORS), F.lit(True), k=5).count() == 0
 
 
+def test_srs_finds_neighbours_in_order_and_verifies_a_part():
+    draw = np.random.default_rng(8)
+    tree = srs.Tree(draw.normal(size=(700, 16)))
+    q = draw.normal(size=16)
+    rows = np.concatenate([r for r, _ in tree.neighbours(q)])
+    away = ((tree.points[rows] - q) ** 2).sum(axis=1)
+    assert sorted(rows) == list(range(700)) and (np.diff(away) >= 0).all()
+    centres = draw.normal(size=(200, 64))
+    for v, most in ((draw.normal(size=(8000, 64)), 0.85), (np.repeat(centres, 40, axis=0) + 0.1 * draw.normal(size=(8000, 64)), 0.1)):
+        points = srs.Points(np.arange(8000), v, 10)
+        hits = 0
+        for own in range(40):
+            distance = np.sqrt(((v - v[own]) ** 2).sum(axis=1))
+            distance[own] = np.inf
+            hits += len(set(np.argsort(distance)[:10]) & {i for _, i in points.nearest(own, v[own])})
+        assert hits >= 0.9 * 400 and points.verified < most * 40 * 8000, (hits, points.verified / 40 / 8000)
+
+
 def test_chat(spark):
     schema = "conv_id long, turn long, role string, text string, formatted string, key int"
     rows = [(1, 1, "assistant", "<|im_end|><\\|x|>", None, 1), (1, 0, "user", None, "f", 2), (2, None, None, "a\nb<|", None, 3), (None, 0, "us\ner%<", "", None, 4), (3, 0, "assistant", "t", None, 5), (3, 0, "assistant", "t", None, 5)]
