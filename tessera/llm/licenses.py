@@ -23,12 +23,36 @@ WORD = re.compile(r"[^\W_]+")
 #: Share of a template's words that must align, and share of the words of the span that must.
 COVERAGE = 0.8
 DENSITY = 0.5
+#: Words that tell licenses of one wording apart, besides numbers: those of a template must all align.
+TELLING = frozenset("affero lesser nc sa nd noncommercial sharealike".split())
 
 # Well-known notices, as published.
+BSD_TERMS = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+    "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution."
+)
+BSD_DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT "
+    "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+    "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+    "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+    "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF "
+    "THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+GNU_NOTICE = (
+    "This {work} is free software: you can redistribute it and/or modify it under the terms of the GNU {license} License as published by the "
+    "Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+)
+CC_NOTICE = "This work is licensed under a Creative Commons {kind} {version} License."
 TEMPLATES = {
     "Apache-2.0 line": "Licensed under the Apache License, Version 2.0.",
     "MIT line": "Released under the MIT License.",
+    "GPL-2.0 line": "This work is licensed under the GNU General Public License, version 2.",
     "GPL-3.0 line": "This work is licensed under the GNU General Public License, version 3.",
+    "CC-BY-4.0 line": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0 line": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0 line": "Licensed under CC BY-NC 4.0.",
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
@@ -49,22 +73,39 @@ TEMPLATES = {
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
         "the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS "
-        "ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."
+        "ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE "
+        "AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA "
+        "OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+        "PERFORMANCE OF THIS SOFTWARE."
     ),
-    "BSD-2-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
-        "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
-        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
-        "documentation and/or other materials provided with the distribution."
-    ),
-    "GPL-3.0-or-later": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
-        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    "BSD-2-Clause": f"{BSD_TERMS} {BSD_DISCLAIMER}",
+    "BSD-3-Clause": (
+        f"{BSD_TERMS} Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        f"derived from this software without specific prior written permission. {BSD_DISCLAIMER}"
     ),
+    "GPL-2.0-or-later": GNU_NOTICE.format(work="program", license="General Public", version=2),
+    "GPL-3.0-or-later": GNU_NOTICE.format(work="program", license="General Public", version=3),
+    "LGPL-2.1-or-later": GNU_NOTICE.format(work="library", license="Lesser General Public", version="2.1"),
+    "LGPL-3.0-or-later": GNU_NOTICE.format(work="library", license="Lesser General Public", version=3),
+    "AGPL-3.0-or-later": GNU_NOTICE.format(work="program", license="Affero General Public", version=3),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
         "file, You can obtain one at https://mozilla.org/MPL/2.0/."
     ),
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+        "https://www.eclipse.org/legal/epl-2.0/"
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any "
+        "means."
+    ),
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)",
+    "CC-BY-4.0": CC_NOTICE.format(kind="Attribution", version="4.0 International"),
+    "CC-BY-SA-4.0": CC_NOTICE.format(kind="Attribution-ShareAlike", version="4.0 International"),
+    "CC-BY-NC-4.0": CC_NOTICE.format(kind="Attribution-NonCommercial", version="4.0 International"),
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0.",
 }
 
 
@@ -123,6 +164,7 @@ class Scanner:
     def __init__(self, templates: dict[str, str], coverage: float = COVERAGE, density: float = DENSITY):
         self.coverage, self.density = coverage, density
         self.templates = {name: words(text) for name, text in templates.items()}
+        self.telling = {name: {w for w in own if w.isdigit() or w in TELLING} for name, own in self.templates.items()}
         self.pivots: dict[str, set[str]] = {}
         self.found = ahocorasick.Automaton()
         for name, own in self.templates.items():
@@ -158,19 +200,31 @@ class Scanner:
 
     def _windows(self, name: str, template: list[str], own: list[str], at: list[int], reach: int) -> list[dict]:
         out, done = [], -1
-        count = Counter(template)
+        count, need = Counter(template), self.coverage * len(template)
+        # The words of a template inside a window that slides from pivot to pivot, and how many of them it can use.
+        inside, usable, start, stop = Counter(), 0, 0, 0
         for i in at:
             if i <= done:
                 continue
             # An occurrence that holds this pivot and none before it lies within reach of it.
             low, high = max(done + 1, i - reach), min(len(own), i + reach + 1)
-            inside = Counter(own[low:high])
-            if sum((inside & count).values()) < self.coverage * len(template):
+            if low >= stop:
+                inside, usable, start, stop = Counter(), 0, low, low
+            for word in own[stop:high]:
+                if word in count:
+                    usable += inside[word] < count[word]
+                    inside[word] += 1
+            for word in own[start:low]:
+                if word in count:
+                    usable -= inside[word] <= count[word]
+                    inside[word] -= 1
+            start, stop = low, high
+            if usable < need or any(inside[w] < count[w] for w in self.telling[name]):
                 continue
-            pairs = self._held(patience(own[low:high], template), low, i, template)
+            pairs = self._held(name, patience(own[low:high], template), low, i, template)
             if inside[own[i]] > count[own[i]]:
                 # The window may hold several copies, whose words are no anchors: this pivot is pinned, the others cut off.
-                pinned = [self._held(self._pinned(template, own, i, j, low, high), 0, i, template) for j, w in enumerate(template) if w == own[i]]
+                pinned = [self._held(name, self._pinned(template, own, i, j, low, high), 0, i, template) for j, w in enumerate(template) if w == own[i]]
                 pairs = max([pairs, *pinned], key=lambda p: (2 * len(p) - (p[-1][0] - p[0][0] + 1), len(p)) if p else (-len(own), 0))
             if pairs:
                 first, last = pairs[0][0], pairs[-1][0]
@@ -178,10 +232,13 @@ class Scanner:
                 done = last
         return out
 
-    def _held(self, pairs: list[tuple[int, int]], low: int, i: int, template: list[str]) -> list[tuple[int, int]]:
-        """The dense part of `pairs`, in words of the text, if it covers enough of the template and spans word `i`."""
+    def _held(self, name: str, pairs: list[tuple[int, int]], low: int, i: int, template: list[str]) -> list[tuple[int, int]]:
+        """The dense part of `pairs`, in words of the text, if it covers enough of the template, all its telling words
+        among it, and spans word `i`."""
         pairs = [(low + a, b) for a, b in self._dense(pairs)]
-        return pairs if len(pairs) >= self.coverage * len(template) and pairs[0][0] <= i <= pairs[-1][0] else []
+        if len(pairs) < self.coverage * len(template) or not pairs[0][0] <= i <= pairs[-1][0]:
+            return []
+        return pairs if sum(template[b] in self.telling[name] for _, b in pairs) == sum(w in self.telling[name] for w in template) else []
 
     @staticmethod
     def _pinned(template: list[str], own: list[str], i: int, j: int, low: int, high: int) -> list[tuple[int, int]]:
@@ -198,10 +255,17 @@ class Scanner:
         return [*head, (i, j), *tail]
 
     def _dense(self, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """Drop aligned words from the thinner end until the span is dense enough."""
-        while len(pairs) > 1 and len(pairs) < self.density * (pairs[-1][0] - pairs[0][0] + 1):
-            pairs = pairs[1:] if pairs[1][0] - pairs[0][0] >= pairs[-1][0] - pairs[-2][0] else pairs[:-1]
-        return pairs
+        """The run of aligned words with the most of them less the words between, weighed so that its density suffices."""
+        weight = self.density / (1 - self.density)
+        best, kept, sum_, start, before = 0.0, (0, 0), 0.0, 0, 0
+        for n, (a, _) in enumerate(pairs):
+            sum_ -= weight * (a - before - 1)
+            if sum_ <= 0:
+                sum_, start = 0.0, n
+            sum_, before = sum_ + 1, a
+            if sum_ > best:
+                best, kept = sum_, (start, n + 1)
+        return pairs[slice(*kept)]
 
 
 def _widest(found: list[dict]) -> list[dict]:

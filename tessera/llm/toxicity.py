@@ -25,10 +25,11 @@ from tessera.llm.shingles import hashes, split, windows
 
 #: Labelled rows that voters and classifier are fitted on, at most.
 SAMPLE = 20_000
-#: Lexicon voters, at most, and the fewest toxic rows that a cue is seen in.
-CUES = 512
+#: Lexicon voters, at most (the strongest): it bounds the model that every task receives.
+VOTERS = 512
+#: The fewest toxic rows that a cue is seen in.
 SUPPORT = 3
-#: Lengths of word beginnings tried as cues; longer than these only whole words.
+#: Lengths of word beginnings tried as cues, besides whole words.
 STEMS = (4, 5, 6, 7)
 #: Share of toxic rows among those that hold a cue, at least.
 PURITY = 0.6
@@ -44,8 +45,7 @@ def cues_of(text: str) -> set[str]:
     """Candidate cues of a text: whole words (closed by a blank) and word beginnings, lower case."""
     out = set()
     for word in set(WORDS.findall(text.lower())):
-        if 3 <= len(word) <= 24:
-            out.add(word + " ")
+        out.add(word + " ")
         out.update(word[:n] for n in STEMS if len(word) >= n)
     return out
 
@@ -154,13 +154,16 @@ def logistic(x: np.ndarray, target: np.ndarray, penalty: float = 0.02, rounds: i
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Fit on at most `sample` rows of `labels`, taken by a hash of the id. Null ids and null labels are left out; rows
-    that repeat an id count as toxic if one is. Near copies in the sample (equal least shingle) count once. Without
-    labels of both classes the model scores every text by the share of toxic labels, 0 if there are none."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, voters: int = VOTERS) -> Model:
+    """Fit on at most `sample` labelled documents, taken by a hash of the id, with at most `voters` cues of their words.
+
+    Null ids and null labels are left out; labels that repeat an id are toxic if one is; of documents that repeat an id
+    one text is taken. Near copies in the sample (equal least shingle) count once. Without labels of both classes the
+    model scores every text by the share of toxic labels, 0 if there are none."""
     named = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
     chosen = named.orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(chosen), "id")
+    rows = rows.groupBy("id").agg(F.max("y").alias("y"), F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def least(batch: dict[str, list]) -> dict[str, list]:
         shingles = [windows(hashes(w), min(5, len(w))) if (w := split(t)) else [0] for t in batch["text"]]
@@ -169,12 +172,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     single = map_batches(rows.select("text", "y"), least, "least long, text string, y int").groupBy("least", "y").agg(F.min("text").alias("text")).select("y", "text")
     single = single.persist()
     try:
-        return _fitted(single)
+        return _fitted(single, voters)
     finally:
         single.unpersist()
 
 
-def _fitted(single: DataFrame) -> Model:
+def _fitted(single: DataFrame, voters: int) -> Model:
     counts = {r["y"]: r["n"] for r in single.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = counts.get(1, 0), counts.get(0, 0)
     if not toxic or not clean:
@@ -195,15 +198,15 @@ def _fitted(single: DataFrame) -> Model:
     tallied = tallied.persist()
     kinds = tallied.where(F.col("toxic") + F.col("clean") >= SUPPORT).agg(total).first()["n"]
     likely = tallied.where((F.col("toxic") >= SUPPORT) & (rate >= PURITY) & (gain >= math.log(max(2, kinds))))
-    ranked = likely.orderBy(gain.desc(), "cue").limit(8 * CUES).collect()
+    ranked = likely.orderBy(gain.desc(), "cue").collect()  # words of at most SAMPLE documents
     tallied.unpersist()
-    cues = _lexicon([(r["cue"], r["toxic"], r["clean"]) for r in ranked])
+    cues = _lexicon([(r["cue"], r["toxic"], r["clean"]) for r in ranked])[:voters]
 
     def seen(batch: dict[str, list]) -> dict[str, list]:
         own = [hits(t, cues) for t in batch["text"]]
         return {"y": batch["y"], "cue": [list(h) for h in own], "times": [list(h.values()) for h in own], "marks": [patterns(t) for t in batch["text"]]}
 
-    rows = map_batches(single, seen, "y int, cue array<int>, times array<int>, marks array<double>").collect()  # at most SAMPLE rows
+    rows = map_batches(single, seen, "y int, cue array<int>, times array<int>, marks array<double>").collect()  # at most SAMPLE documents
     x = features([dict(zip(r["cue"], r["times"], strict=True)) for r in rows], [r["marks"] for r in rows], len(cues))
     labels = np.array([r["y"] for r in rows], float)
     posterior = label_model(np.column_stack([x[:, :1], x[:, 2:]]), labels)
@@ -219,7 +222,7 @@ def _lexicon(ranked: list[tuple[str, int, int]]) -> tuple[str, ...]:
         if all(kept.get(cue.rstrip(" ")[:n], -1.0) < purity for n in STEMS):
             kept[cue] = purity
     order = {cue: i for i, (cue, _, _) in enumerate(ranked)}
-    return tuple(sorted(kept, key=order.__getitem__)[:CUES])
+    return tuple(sorted(kept, key=order.__getitem__))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:

@@ -328,6 +328,53 @@ def test_adjacent_licenses():
         assert got == [("MIT", 2 + e - size, 1 + e) for e, size in zip(ends, sizes, strict=True)]
 
 
+def test_licenses_against_brute_force():
+    """Planted copies with some words changed are found, unless nearly too many; what is found holds enough of its template."""
+    draw = np.random.default_rng(12)
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    names = [n for n in licenses.TEMPLATES if len(scanner.templates[n]) >= 20 and "BSD" not in n]
+    for _ in range(60):
+        text, planted = [], []
+        for name in draw.choice(names, draw.integers(0, 4)):
+            text += [f"w{x}" for x in draw.integers(0, 50, draw.integers(0, 30))] + draw.choice(["the", "license", "software", "of"], draw.integers(0, 6)).tolist()
+            own, first = [], len(text)
+            for word in scanner.templates[name]:
+                x = draw.random()
+                keep = word in scanner.telling[name] or x > 0.08
+                own += [word] if keep else [f"x{draw.integers(0, 99)}"] if x > 0.04 else []
+            text += own
+            if sum(w[0] != "x" for w in own) >= 0.88 * len(scanner.templates[name]):
+                planted.append((name, first, len(text)))
+        found = scanner.scan(" ".join(text))
+        for name, first, end in planted:
+            assert any(f["first_word"] < end and first <= f["last_word"] for f in found), (name, first, end, found)
+            assert any(f["license"] == name and abs(f["first_word"] - first) < 6 and abs(f["last_word"] + 1 - end) < 6 for f in found), (name, first, end, found)
+        for f in found:
+            template = scanner.templates[f["license"]]
+            own = text[f["first_word"] : f["last_word"] + 1]
+            assert f["coverage"] >= licenses.COVERAGE and common(own, template) >= f["matched"] >= licenses.DENSITY * len(own)
+
+
+def common(a, b):
+    best = np.zeros(len(b) + 1, int)
+    for x in a:
+        best = np.maximum.accumulate(np.concatenate([[0], np.maximum(best[1:], np.where(np.array(b) == x, best[:-1] + 1, 0))]))
+    return best[-1]
+
+
+def test_licenses_in_very_long_texts():
+    import time
+
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    line = licenses.TEMPLATES["MIT line"]
+    start = time.process_time()
+    assert len(scanner.scan("under the software license of " * 20_000 + line)) == 1
+    assert len(scanner.scan("software " * 100_000 + line)) == 1
+    assert time.process_time() - start < 30
+    versions = {scanner.scan(f"a {licenses.TEMPLATES[n]} b")[0]["license"] for n in licenses.TEMPLATES}
+    assert versions == set(licenses.TEMPLATES)
+
+
 def test_capitals_of_whole_texts():
     mostly = lambda text: toxicity.patterns(text)[len(toxicity.MARKS)]
     for n in (100, 1999, 2000, 3999, 4000, 5999, 6000, 50000):
