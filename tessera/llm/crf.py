@@ -1,7 +1,7 @@
 """Main text of web pages: a linear-chain conditional random field over DOM leaf blocks, decoded by Viterbi.
 
-Blocks are labelled main text or not. Features are the tags and attribute words of a block's ancestors and shapes of its
-text. Training maximises the conditional likelihood of labelled pages by forward-backward; `labelled_pages` composes
+Blocks are labelled main text or not. Features are the tags of a block's ancestors, the kinds of part that their attribute
+names mean, and shapes of its text. Training maximises the conditional likelihood of labelled pages by forward-backward; `labelled_pages` composes
 these pages from the parts that articles and their surroundings commonly have, so that the labels are exact.
 """
 
@@ -21,7 +21,7 @@ PAGES = 1200
 ROUNDS = 120
 SEED = 11
 
-#: Attribute words of parts around an article, as sites commonly write them.
+#: Attribute names of parts around an article, as sites commonly write them.
 AROUND = {
     "nav": "nav navbar navigation menu main-menu topnav site-nav mega-menu breadcrumb breadcrumbs pagination pager skip-link tabs toc",
     "header": "header site-header masthead topbar top-bar banner logo branding page-header global-header",
@@ -31,16 +31,19 @@ AROUND = {
     "ad": "ad ads advert adverts advertisement ad-slot ad-container sponsored sponsor promo promotion promoted dfp adsense outbrain taboola affiliate",
     "form": "form search search-form login signin signup subscribe newsletter newsletter-signup contact-form register feedback poll survey rating",
     "comments": "comments comment comment-list comment-body responses replies reply discussion disqus respond user-comments reader-comments",
-    "share": "share sharing share-buttons social social-links follow toolbar tools print tags tag-list byline author author-bio meta post-meta dateline",
+    "share": "share sharing share-buttons social social-links follow follow-us toolbar tools print tags tag-list",
 }
 TAGS = {
     "nav": "nav nav nav ul div", "header": "header header div", "footer": "footer footer div", "aside": "aside aside section div",
     "notice": "div div section dialog aside", "ad": "div div aside section ins", "form": "form form div section", "comments": "section div ol ul", "share": "div ul p section",
 }
 BODY = "content article post entry story main text body article-body post-content entry-content story-body page-content prose markdown article-text"
-#: Words that name both an article and a part around it tell nothing.
-COMMON = frozenset(f"{BODY} site page list box section area item top bottom side bar".replace("-", " ").split())
-KINDS = {kind: frozenset(names.replace("-", " ").split()) - COMMON for kind, names in AROUND.items()}
+#: What a line about the article's author and date is called: it belongs to the article.
+LINES = "byline by-line author dateline date published meta post-meta entry-meta"
+#: Words that names add to say where or in which shape a part stands.
+NEUTRAL = frozenset(f"{BODY} {LINES} site list box section area item items top bottom side bar left right wrapper wrap container block inner outer group row col column module component panel global primary secondary mobile desktop js c l u is".replace("-", " ").split())
+KINDS = {kind: frozenset(names.replace("-", " ").split()) - NEUTRAL for kind, names in AROUND.items()}
+NAMES = {kind: frozenset(names.split()) - NEUTRAL for kind, names in AROUND.items()}
 BODY_WORDS = frozenset(BODY.replace("-", " ").split())
 SYLLABLES = "an re ti on en er th st ing ou la de men tion ar os es que ver sch te lo mi ka no su pe ra el ab".split()
 
@@ -107,17 +110,24 @@ class Writer:
             inside = "".join(r.choice(["<p>%s</p>", "%s ", "<div>%s</div>", "<h4>%s</h4>", "<span>%s</span>", "&copy; %s &middot; "]) % self.sentence(2, 40) for _ in range(r.randint(1, 4)))
         return f"<{tag}{attrs}>{inside}</{tag}>"
 
+    def line(self, tag: str) -> str:
+        """Who wrote the article, and when."""
+        r = self.random
+        text = self.note(self.words(2, 8))
+        return f"<{tag}{self.attrs(LINES)}>" + r.choice([text, f'<a href="/by">{text}</a>', f"<time>{text}</time>"]) + f"</{tag}>"
+
     def article(self) -> str:
         r = self.random
         if r.random() < 0.06:
             # Text straight in its container, lines parted by breaks only.
             lines = [self.sentence() for _ in range(r.randint(1, 6))]
             self.note(" ".join(lines))
-            meta = f"<div class=\"{r.choice(['byline', 'meta', 'tags'])}\">{self.words(1, 4)}</div>" * (r.random() < 0.4)
-            return r.choice(["<br>", "<br><br>", "<br/>"]).join(lines) + meta
+            return r.choice(["<br>", "<br><br>", "<br/>"]).join(lines) + (self.line("div") if r.random() < 0.4 else "")
         out = [f"<h1>{self.note(self.words(2, 12))}</h1>"] if r.random() < 0.85 else []
         if out and r.random() < 0.2:
-            out = [f"<header>{out[0]}<p class=\"{r.choice(['byline', 'meta', 'post-meta'])}\">{self.words(2, 6)}</p></header>"]
+            out = [f"<header>{out[0]}{self.line('p')}</header>"]
+        elif r.random() < 0.2:
+            out.append(self.line(r.choice(["p", "div", "address"])))
         for _ in range(r.randint(1, 12)):
             x = r.random()
             if x < 0.62:
@@ -174,14 +184,25 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[tuple[list[Block],
     return out
 
 
+@lru_cache(maxsize=50_000)
+def kinds_of(name: str) -> frozenset[str]:
+    """The kinds of part that a whole attribute name means: none if it holds a word that says something else."""
+    exact = frozenset(kind for kind, names in NAMES.items() if name in names)
+    if exact:
+        return exact
+    words = frozenset(name.split("-"))
+    telling = words - NEUTRAL
+    if not telling:
+        return frozenset({"body"}) if words & BODY_WORDS else frozenset()
+    found = {kind: own & telling for kind, own in KINDS.items()}
+    return frozenset(kind for kind, own in found.items() if own) if telling <= frozenset().union(*found.values()) else frozenset()
+
+
 def roles(ancestors: frozenset[str]) -> list[str]:
-    """Features of a block's ancestors: their tags and attribute words, and the kinds of part that these name."""
-    found = [f"kind:{kind}" for kind, names in KINDS.items() if not names.isdisjoint(ancestors)]
-    if found:
-        found.append("around")
-    if not BODY_WORDS.isdisjoint(ancestors):
-        found.append("kind:body")
-    return [*sorted(ancestors), *found]
+    """Features of a block's ancestors: their tags, and the kinds of part that their names mean."""
+    tags = sorted(a for a in ancestors if a[0] == "<" or a == "hidden")
+    kinds = sorted(frozenset().union(*(kinds_of(a) for a in ancestors if a[0] != "<")))
+    return [*tags, *(f"kind:{k}" for k in kinds), *(["around"] if set(kinds) - {"body"} else [])]
 
 
 def shapes(block: Block, at: int, of: int) -> list[str]:

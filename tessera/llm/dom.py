@@ -1,4 +1,4 @@
-"""Leaf blocks of a web page: runs of text between block-level tags, with their ancestors' tags and attribute words."""
+"""Leaf blocks of a web page: runs of text between block-level tags, with their ancestors' tags and attribute names."""
 
 from __future__ import annotations
 
@@ -27,8 +27,12 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label|data-component|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.IGNORECASE)
 #: Elements deeper than this are taken as their neighbours' siblings, as browsers do; their text stays.
 DEPTH = 512
-PART = re.compile(r"[a-z]+")
+#: Elements that a head may hold; any other, or text, begins the body.
+IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title head html".split())
+#: Elements of a page as a whole: a form around one of them is no form to fill in but the frame of the page.
+WHOLE = frozenset("article main header footer nav h1".split())
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+PARTS = re.compile(r"[^\W\d_]+")
 
 
 @dataclass
@@ -41,8 +45,8 @@ class Block:
     tag: str
 
 
-def attribute_words(attrs: str) -> set[str]:
-    """Words of the attributes that name an element's part in the page."""
+def attribute_names(attrs: str) -> set[str]:
+    """Names that the attributes give an element: each whole, its parts in lower case joined by hyphens."""
     out = set()
     for name, *values in ATTRIBUTE.findall(attrs):
         value = next(filter(None, values), "")
@@ -50,32 +54,35 @@ def attribute_words(attrs: str) -> set[str]:
             if value.lower() != "false":
                 out.add("hidden")
             continue
-        out.update(PART.findall(CAMEL.sub(" ", value).lower()))
-    return out
+        for one in [value] if name.lower() == "aria-label" else value.split():
+            out.add("-".join(PARTS.findall(CAMEL.sub(" ", one).lower())))
+    return out - {""}
 
 
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks of a whole page in order; character references decoded, white space inside a block made one space."""
     page = page or ""
-    out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = [("", frozenset())]
+    held: list[tuple[Block, list | None]] = []
+    # An element is its tag, its own features, whether it frames the page, and the features of its ancestors so far.
+    stack: list[list] = [["", frozenset(), False, frozenset()]]
     parts: list[str] = []
-    linked, links, skipping = 0, 0, 0
+    linked, links, skipping, forms = 0, 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            tag = next((t for t, _ in reversed(stack) if t in BLOCK), "")
-            out.append(Block(text, stack[-1][1], min(linked, len(text)), tag))
+            tag = next((e[0] for e in reversed(stack) if e[0] in BLOCK), "")
+            held.append((Block(text, stack[-1][3], min(linked, len(text)), tag), list(stack) if forms else None))
         parts.clear()
         linked = 0
 
     def pop_to(depth: int) -> None:
-        nonlocal links, skipping
-        for tag, _ in stack[depth:]:
+        nonlocal links, skipping, forms
+        for tag, *_ in stack[depth:]:
             links -= tag == "a"
             skipping -= tag in SKIPPED
+            forms -= tag == "form"
         del stack[depth:]
 
     at, end = 0, len(page)
@@ -84,6 +91,8 @@ def blocks(page: str | None) -> list[Block]:
         at = found.end()
         text, tag = found["text"], found["tag"]
         if text is not None:
+            if stack[-1][0] == "head" and not text.isspace():
+                pop_to(len(stack) - 1)
             if not skipping:
                 parts.append(text)
                 if links:
@@ -92,6 +101,8 @@ def blocks(page: str | None) -> list[Block]:
         if tag is None:
             continue
         tag = tag.lower()
+        if stack[-1][0] == "head" and tag not in IN_HEAD:
+            pop_to(len(stack) - 1)
         if tag == "br" or tag == "wbr":
             parts.append(" " if tag == "br" else "")
             continue
@@ -122,14 +133,23 @@ def blocks(page: str | None) -> list[Block]:
             continue
         own = {f"<{tag}>"} if tag in BLOCK or tag in ("a", "time", "small", "span", "cite") else set()
         if found["attrs"].strip():
-            own |= attribute_words(found["attrs"])
+            own |= attribute_names(found["attrs"])
         if len(stack) > DEPTH:
             continue
-        stack.append((tag, stack[-1][1] | own if own else stack[-1][1]))
+        if forms and tag in WHOLE:
+            for element in stack:
+                element[2] = element[2] or element[0] == "form"
+        stack.append([tag, own, False, stack[-1][3] | own if own else stack[-1][3]])
         links += tag == "a"
         skipping += tag in SKIPPED
+        forms += tag == "form"
         if tag == "body":
             pop_to(1)
-            stack.append((tag, stack[0][1]))
+            stack.append([tag, frozenset(), False, frozenset()])
     flush()
-    return out
+    return [_unframed(block, path) if path and any(e[2] for e in path) else block for block, path in held]
+
+
+def _unframed(block: Block, path: list) -> Block:
+    """The block without the features of forms that frame the page."""
+    return Block(block.text, frozenset().union(*(e[1] for e in path if not e[2])), block.linked, block.tag)
