@@ -29,9 +29,6 @@ SKETCH = 32
 SHARED = 12
 #: Chance to miss a link, at most, where links of less similarity need fewer shared values.
 MISSED = 1e-7
-#: A member this alike to its leader (of SKETCH values) needs no turn as leader: the leader stands for it. So for links of
-#: 80 percent or more; for looser ones every member takes its turn.
-CLOSE = 29
 #: Members of a list, and shingles of a group of likely links, in one block.
 LIST_ROWS = 4096
 GROUP_SHINGLES = 1_000_000
@@ -105,7 +102,6 @@ def in_blocks(rows: DataFrame, key: str, id_col: str, blocks: Column) -> DataFra
 
 def _likely(sets: DataFrame, percent: int, fewest: int) -> DataFrame:
     """Edges `a, b` of likely links between representatives `id, sketch`, which share `fewest` values."""
-    close = CLOSE if percent >= 80 else SKETCH + 1
     values = sets.select("id", F.explode("sketch").alias("value"))
     counted = cut(values.groupBy("value").agg(F.count("*").alias("rows")).where("rows > 1"))
     shared = values.join(counted, "value").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rows", "value"))).alias("shared"))
@@ -118,7 +114,7 @@ def _likely(sets: DataFrame, percent: int, fewest: int) -> DataFrame:
         if sum(s.num_rows for s in slices) > 1:
             rows = pa.Table.from_batches(slices)
             order = np.argsort(rows["id"].to_numpy(), kind="stable")
-            a, b = forest(rows["id"].to_numpy()[order], _padded(rows["sketch"], order), fewest, close)
+            a, b = forest(rows["id"].to_numpy()[order], _padded(rows["sketch"], order), fewest)
             if len(a):
                 yield {"a": a, "b": b}
 
@@ -150,8 +146,11 @@ def estimates(leader: np.ndarray, size: int, sketches: np.ndarray, sizes: np.nda
     return (both & (rank < SKETCH)).sum(axis=1) * SKETCH / union
 
 
-def forest(ids: np.ndarray, padded: tuple[np.ndarray, np.ndarray], fewest: int = SHARED, close: int = CLOSE) -> tuple[list[int], list[int]]:
-    """Links from members of a list to the least id of their class of likely links; ids ascend."""
+def forest(ids: np.ndarray, padded: tuple[np.ndarray, np.ndarray], fewest: int = SHARED) -> tuple[list[int], list[int]]:
+    """Links from members of a list to the least id of their class of likely links; ids ascend.
+
+    Every sketch takes its turn as leader against all members, until all are of one class: no likely link is lost.
+    """
     sketches, sizes = padded
     label = np.arange(len(ids))
     turn = np.ones(len(ids), bool)
@@ -163,8 +162,8 @@ def forest(ids: np.ndarray, padded: tuple[np.ndarray, np.ndarray], fewest: int =
         alike = estimates(sketches[at], int(sizes[at]), sketches, sizes)
         joined = np.unique(label[alike >= fewest])
         label[np.isin(label, joined)] = joined.min() if len(joined) else label[at]
-        turn[at] = False
-        turn[alike >= close] = False
+        # The same sketch again would find the same.
+        turn[(sketches == sketches[at]).all(axis=1)] = False
     hung = np.flatnonzero(label != np.arange(len(ids)))
     a, b = ids[hung], ids[label[hung]]
     return a[a != b].tolist(), b[a != b].tolist()

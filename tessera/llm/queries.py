@@ -100,11 +100,61 @@ def op7_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.apply(docs, debruijn.digest, "n_words long, n_removed long, kept_sha256 string", ["doc_id"])
 
 
+OP7_SQL = r"""
+WITH split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM split
+), windows AS (
+  SELECT doc_id, p, array_to_string(w[p:p + 49], ' ') AS edge FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM split WHERE len(w) >= 50)
+), first AS (
+  SELECT edge, min(doc_id) AS source FROM windows GROUP BY edge
+), covered AS (
+  SELECT doc_id, p, p AS start FROM windows JOIN first USING (edge) WHERE doc_id > source
+), marked AS (
+  SELECT doc_id, p, word, coalesce(max(start) OVER (PARTITION BY doc_id ORDER BY p) > p - 50, false) AS gone
+  FROM words LEFT JOIN covered USING (doc_id, p)
+), counted AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT gone) AS kept
+  FROM marked GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN counted USING (doc_id)
+"""
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose 4-word shingle sets are 80 % alike: doc_id, n_shingles, component_id, kept."""
     return minhash.classes(table(spark, sf_dir, "documents"), words=4, percent=80, lower=True)
 
 
+OP8_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + 3], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS p FROM split WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)
+), steps AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id AS node, doc_id AS other FROM documents
+  UNION
+  SELECT node, steps.b FROM reach JOIN steps ON steps.a = other
+), least AS (
+  SELECT node AS doc_id, min(other) AS component_id FROM reach GROUP BY node
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM least LEFT JOIN sizes USING (doc_id)
+"""
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every document for toxicity: doc_id, held_out, score, predicted."""
     docs = table(spark, sf_dir, "documents")
@@ -128,4 +178,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_va_file": OP1_SQL,
     "op5_chat_parts": OP5_SQL,
+    "op7_debruijn": OP7_SQL,
+    "op8_minhash": OP8_SQL,
 }
