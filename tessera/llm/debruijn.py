@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, map_batches
+from tessera.llm.common import cut, map_batches, release
 from tessera.llm.shingles import MULTIPLIER, hashes, mix, split, windows
 
 WINDOW = 50
@@ -58,7 +58,7 @@ def paths(h: np.ndarray, k: int = WINDOW, q: int = GRAM) -> tuple[np.ndarray, ..
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows that take part, with a hash of the text that tells rows of one id apart."""
     text = F.coalesce(df[text_col], F.lit(""))
-    return df.select(df[id_col].cast("long").alias("doc"), F.hash(text).alias("kind"), text.alias("text"))
+    return df.select(df[id_col].cast("long").alias("doc"), F.xxhash64(text).alias("kind"), text.alias("text"))
 
 
 def covered(df: DataFrame, k: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,18 +71,20 @@ def covered(df: DataFrame, k: int = WINDOW, id_col: str = "doc_id", text_col: st
         out = {n: np.concatenate([f[i] for f in found]) for i, n in enumerate(("gram", "path", "first", "count"))}
         return out | {n: np.repeat(np.array(batch[n]), sizes) for n in ("doc", "kind")}
 
-    rows = map_batches(docs, walk, "gram long, path long, doc long, kind int, first int, count int")
+    # Written once: the texts are walked once, and both readers below see the same rows.
+    rows = cut(map_batches(docs, walk, "gram long, path long, doc long, kind long, first int, count int"))
     shared = rows.groupBy("gram").agg(F.count("*").alias("n"), F.min("doc").alias("start"), F.max("doc").alias("stop"), (F.min("path") != F.max("path")).alias("branches"))
     # Written aside, so that both sides of the join are plain exchanges, whose hot partitions Spark can split.
     shared = cut(shared.where("start < stop").select("gram", "start", "branches"))
     hits = cut(rows.join(shared, "gram").where("branches or doc > start").drop("start"))
+    release(df.sparkSession.sparkContext, rows, shared)
     straight = hits.where("not branches")
 
     branching = hits.where("branches").drop("branches")
     paths_of = cut(branching.groupBy("gram", "path").agg(F.min("doc").alias("start")))
     settled = branching.join(paths_of, ["gram", "path"])
     equal = settled.where("doc > start")
-    sources = settled.where("doc = start").groupBy("doc", "kind").agg(F.collect_list(F.struct("gram", "first", "count")).alias("at"))
+    sources = settled.where("doc = start").groupBy("doc", "kind").agg(F.collect_set(F.struct("gram", "first", "count")).alias("at"))
 
     def look(batch: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {n: [] for n in ("gram", "doc", "kind", "first", "edges")}
@@ -94,7 +96,7 @@ def covered(df: DataFrame, k: int = WINDOW, id_col: str = "doc_id", text_col: st
                     out[name].append(x)
         return out
 
-    looked = cut(map_batches(docs.join(sources, ["doc", "kind"]), look, "gram long, doc long, kind int, first int, edges array<long>"))
+    looked = cut(map_batches(docs.join(sources, ["doc", "kind"]), look, "gram long, doc long, kind long, first int, edges array<long>"))
     edges = looked.select("gram", "doc", "kind", "first", F.posexplode("edges").alias("step", "edge"))
     starts = cut(edges.groupBy("gram", "edge").agg(F.min("doc").alias("start"), F.max("doc").alias("stop")).where("start < stop").drop("stop"))
     single = edges.join(starts, ["gram", "edge"]).where("doc > start").select("doc", "kind", (F.col("first") + F.col("step")).alias("first"), F.lit(1).alias("count"))
@@ -121,7 +123,7 @@ def apply(df: DataFrame, fn: Callable[[str, np.ndarray], dict], fields: str, kee
     runs = covered(df, k, id_col, text_col).distinct().groupBy("doc", "kind").agg(F.collect_list(F.struct("first", "count")).alias("runs"))
     named = [df[c].alias(f"k{i}") for i, c in enumerate(keep)]
     text = F.coalesce(df[text_col], F.lit(""))
-    rows = df.select(*named, df[id_col].cast("long").alias("doc"), F.hash(text).alias("kind"), text.alias("text"))
+    rows = df.select(*named, df[id_col].cast("long").alias("doc"), F.xxhash64(text).alias("kind"), text.alias("text"))
     joined = rows.join(runs, ["doc", "kind"], "left").drop("doc", "kind")
     types = ", ".join(f"k{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     made = [f.split()[0] for f in fields.split(", ")]
@@ -159,7 +161,8 @@ def kept_text(text: str, runs: list | None, k: int = WINDOW) -> str:
 
 
 def remove(df: DataFrame, k: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`df` with covered words taken out of `text_col`; other columns, and the number and ids of rows, stay."""
+    """`df` with covered words taken out of `text_col`; other columns, and the number and ids of rows, stay. Null texts
+    become empty ones."""
     keep = [c for c in df.columns if c != text_col]
     made = "_kept"
     while made in df.columns:
