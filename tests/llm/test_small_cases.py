@@ -245,7 +245,8 @@ def test_srs_finds_neighbours_in_order_and_verifies_a_part():
     tree = srs.Tree(draw.normal(size=(700, 16)))
     q = draw.normal(size=16)
     rows = np.concatenate([r for r, _ in tree.neighbours(q)])
-    away = ((tree.points[rows] - q) ** 2).sum(axis=1)
+    away = np.concatenate([d for _, d in tree.neighbours(q)])
+    assert np.allclose(away, ((tree.points[rows] - q) ** 2).sum(axis=1))
     assert sorted(rows) == list(range(700)) and (np.diff(away) >= 0).all()
     centres = draw.normal(size=(200, 64))
     for v, most in ((draw.normal(size=(8000, 64)), 0.85), (np.repeat(centres, 40, axis=0) + 0.1 * draw.normal(size=(8000, 64)), 0.1)):
