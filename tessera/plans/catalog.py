@@ -24,6 +24,8 @@ IDENTIFIER = {1: ("the", "identifier"), 2: ("de", "identifier")}
 WORD = {1: ("The", "word"), 2: ("die", "word")}
 REGEX = {1: ("^[A-Z][a-z]+ [a-z]+ of", "regex"), 2: ("[0-9]{3,}", "regex"), 3: ("(", "regex")}
 CONTEXT = {1: "the", 2: "idiot", 3: "ndthe", 4: "license version"}
+#: Names of the registered symbol lookup, besides the queries.
+NAMES = ("thandthe", "that", "nicht", "licensed")
 CAP = 1000
 BUDGET = planning.TokenBudget()
 
@@ -138,7 +140,7 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def find_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return symbols(spark, sf_dir).where(F.col("name").isin(*CONTEXT.values()) | (F.col("name") == "thandthe"))
+    return symbols(spark, sf_dir).where(F.col("name").isin(*CONTEXT.values(), *NAMES))
 
 
 def symbols_in_file(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tessera.functions.text import QUESTION_WORDS, STOP_WORDS
-from tessera.plans.catalog import BUDGET, CAP, CASELESS, CONTEXT, EXACT
+from tessera.plans.catalog import BUDGET, CAP, CASELESS, CONTEXT, EXACT, NAMES
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _LINES = r"""
@@ -159,7 +159,7 @@ SELECT file_id, min(start_byte) AS start_byte, max(end_byte) AS end_byte, min(l)
 ), cut AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(l + s, 9) DESC, file_id, start_byte) AS k FROM fused)
 SELECT query_id, file_id, start_byte, round(l, 6) AS lexical_score, round(s, 6) AS semantic_score FROM cut WHERE k <= 100""",
     "symbols": _with(_LINES, _symbols(4)) + "SELECT symbol_id, name, file_id, start_byte, end_byte, line_number AS start_line FROM named",
-    "find_symbol": _with(_LINES, _symbols(4)) + f"SELECT symbol_id, name, file_id, start_byte, end_byte, line_number AS start_line FROM named WHERE name IN ({', '.join(repr(x) for x in [*CONTEXT.values(), 'thandthe'])})",
+    "find_symbol": _with(_LINES, _symbols(4)) + f"SELECT symbol_id, name, file_id, start_byte, end_byte, line_number AS start_line FROM named WHERE name IN ({', '.join(repr(x) for x in [*CONTEXT.values(), *NAMES])})",
     "symbols_in_file": _with(_LINES, _symbols(4)) + "SELECT file_id, count(*) AS symbols, min(name) AS least, count(DISTINCT name) AS names FROM named GROUP BY file_id",
     "call_edges": _with(_LINES, _symbols(4)) + "SELECT * FROM edges",
     "local_edges": _with(_LINES, _symbols(4)) + "SELECT caller AS from_id, h.id AS to_id, 'Calls' AS relationship FROM calls c JOIN (SELECT name, file_id, max(symbol_id) AS id FROM named GROUP BY name, file_id) h ON h.name = c.callee AND h.file_id = c.file_id",

@@ -8,6 +8,7 @@ import threading
 import time
 import uuid
 from collections.abc import Callable
+from itertools import accumulate
 from typing import IO
 
 from pyspark.sql import DataFrame, Row
@@ -39,8 +40,8 @@ TOOLS = [
     _tool("get_context", "The best fragments for a query within a budget of tokens", "query", "Query", max_tokens=2000, max_files=10),
     _tool("find_callers", "Functions that call a symbol", "symbol", "Name of the symbol", depth=2, offset=0),
     _tool("find_callees", "Functions that a symbol calls", "symbol", "Name of the symbol", depth=2, offset=0),
-    _tool("get_definition", "Where a symbol is defined, with its source", "symbol", "Name of the symbol"),
-    _tool("find_references", "Symbols that refer to a symbol", "symbol", "Name of the symbol", offset=0),
+    _tool("get_definition", "Where a symbol is defined, with its source", "name", "Name of the symbol"),
+    _tool("find_references", "Symbols that refer to a symbol", "name", "Name of the symbol", offset=0),
 ]
 
 
@@ -181,13 +182,16 @@ class Server:
         return {"content": [{"type": "text", "text": text}]}
 
     @staticmethod
-    def _text(arguments: dict, name: str) -> str:
-        if not isinstance(arguments.get(name), str):
+    def _text(arguments: dict, name: str, other: str | None = None) -> str:
+        value = arguments.get(name, arguments.get(other))
+        if not isinstance(value, str):
             raise QueryError(f"{name} is missing")
-        return arguments[name]
+        return value
 
     def _search_code(self, arguments: dict) -> str:
-        found = self.index.search(self._text(arguments, "query")).withColumn("query_id", F.lit(0))
+        # A count of matches needs no tokens beyond its own line, whatever the budget.
+        budget = TokenBudget(int(arguments.get("max_tokens", 2000)))
+        found = self.index.search(self._text(arguments, "query"), budget).withColumn("query_id", F.lit(0))
         row = summary(found).first()
         return f"Found {row['matches'] if row else 0} matches in {row['files'] if row else 0} files"
 
@@ -197,14 +201,18 @@ class Server:
         return few.join(self.index.files.select("file_id", "path"), "file_id").orderBy(*keys).collect()
 
     def _page(self, rows: DataFrame, arguments: dict, show: Callable[[Row], str], none: str, keys: tuple[str, ...] = ("symbol_id",)) -> str:
-        """A page of `rows` from the argument `offset` on, a line each, and how many follow."""
+        """A page of `rows` from the argument `offset` on, a line each, and how many follow. A page ends where the
+        argument `max_tokens` is used up, but holds one row."""
         offset = int(arguments.get("offset", 0))
         if offset < 0:
             raise QueryError("offset is negative")
         placed = self._placed(rows, PAGE + 1, offset, keys)
         lines = [show(r) for r in placed[:PAGE]]
-        if len(placed) > PAGE:
-            lines.append(f"{rows.count() - offset - PAGE} more from offset {offset + PAGE}")
+        if "max_tokens" in arguments:
+            used = accumulate((len(line.encode()) + 4) // 4 for line in lines)
+            lines = lines[: max(1, sum(u <= int(arguments["max_tokens"]) for u in used))]
+        if len(placed) > len(lines):
+            lines.append(f"{rows.count() - offset - len(lines)} more from offset {offset + len(lines)}")
         return "\n".join(lines) or (f"Nothing from offset {offset} on" if offset else none)
 
     def _find_symbol(self, arguments: dict) -> str:
@@ -227,7 +235,7 @@ class Server:
         return self._page(rows, arguments, lambda r: f"- {r['name']} ({r['kind']}) at {r['path']}:{r['start_line']} depth {r['depth']}", f"No {'callers' if up else 'callees'} of {name}", ("depth", "symbol_id"))
 
     def _get_definition(self, arguments: dict) -> str:
-        name = self._text(arguments, "symbol")
+        name = self._text(arguments, "name", "symbol")
         rows = self._placed(self.index.get_definition(name), 1)
         if not rows:
             return f"No symbol {name}"
@@ -235,5 +243,5 @@ class Server:
         return f"{r['name']} ({r['kind']}) at {r['path']}:{r['start_line']}:{r['end_line']}\n{self.index.get_source(r['file_id'], r['start_byte'], r['end_byte'])}"
 
     def _find_references(self, arguments: dict) -> str:
-        name = self._text(arguments, "symbol")
+        name = self._text(arguments, "name", "symbol")
         return self._page(self.index.find_references(name), arguments, lambda r: f"- {r['name']} ({r['relationship']}) at {r['path']}:{r['start_line']}", f"No references to {name}")

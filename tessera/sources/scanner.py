@@ -8,6 +8,7 @@ containment. Ids are local to the file, in order of start; they become global wh
 from __future__ import annotations
 
 import ast
+import keyword
 import re
 from bisect import bisect_right
 from dataclasses import dataclass
@@ -99,12 +100,20 @@ KEYWORDS = frozenset(
 )
 
 
+PYTHON_BLANKS = re.compile(r"#[^\n]*|\"\"\"(?:\\.|[^\\])*?(?:\"\"\"|\Z)|'''(?:\\.|[^\\])*?(?:'''|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?", re.DOTALL)
+HEADER = re.compile(r"\s*(?:async\s+)?(def|class)\s+([^\W\d]\w*)")
+PYTHON_KEYWORDS = frozenset(keyword.kwlist)
+
+
 def scan(content: bytes, language: str) -> tuple[list[Symbol], list[Call]]:
     """Symbols and calls of a file; both empty for other languages, broken text and anything that cannot be read."""
     try:
         content.decode("utf-8")
         if language == "python":
-            return _python(content)
+            try:
+                return _python(content)
+            except (SyntaxError, ValueError):
+                return _indented(content)
         if language in PATTERNS:
             return _braces(content, language)
     except (UnicodeDecodeError, SyntaxError, ValueError, RecursionError, MemoryError):
@@ -142,6 +151,41 @@ def _python(content: bytes) -> tuple[list[Symbol], list[Call]]:
     return symbols, calls
 
 
+def _indented(content: bytes) -> tuple[list[Symbol], list[Call]]:
+    """Symbols and calls of Python that its parser rejects (older, or half edited): headers, indentation, call marks."""
+    code = PYTHON_BLANKS.sub(_blank, content.decode("latin-1"))
+    lines = _Lines(content)
+    rows: list[dict] = []
+    names: set[int] = set()
+    open_: list[int] = []
+    last = 0
+    for start, row in zip(lines.starts, code.split("\n"), strict=False):
+        if not row.strip():
+            continue
+        indent = len(row) - len(row.lstrip())
+        while open_ and rows[open_[-1]]["indent"] >= indent:
+            rows[open_.pop()]["end"] = last
+        header = HEADER.match(row)
+        if header:
+            names.add(start + header.start(2))
+            kind = "Class" if header[1] == "class" else "Function"
+            rows.append({"indent": indent, "name": header[2], "kind": kind, "start": start + indent, "end": 0, "parent": open_[-1] if open_ else None})
+            open_.append(len(rows) - 1)
+        last = start + len(row.rstrip())
+    for at in open_:
+        rows[at]["end"] = last
+    symbols = [Symbol(i, r["name"].encode("latin-1").decode(), r["kind"], r["start"], r["end"], lines.of(r["start"]), lines.of(r["end"] - 1), r["parent"]) for i, r in enumerate(rows)]
+    closes, calls = _pairs(code, "(", ")"), []
+    for m in CALL.finditer(code):
+        callee = re.sub(r"\s+", "", m[1])
+        if m.start() in names or callee.split(".")[-1] in PYTHON_KEYWORDS:
+            continue
+        end = closes.get(m.end() - 1, m.end() - 1) + 1
+        holder = next((s.local_id for s in reversed(symbols) if s.start <= m.start() < s.end), None)
+        calls.append(Call(holder, callee.encode("latin-1").decode(), m.start(), end, lines.of(m.start()), lines.of(end - 1)))
+    return symbols, calls
+
+
 def _blank(match: re.Match) -> str:
     return re.sub(r"[^\n]", " ", match[0])
 

@@ -6,10 +6,10 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans.catalog import QUERIES
-from tessera.plans.oracle import ORACLES
+from tessera.plans import catalog, fixture, oracle
 
 SF = "/root/testdata/sf0.001"
+QUERIES, ORACLES = catalog.QUERIES | fixture.QUERIES, oracle.ORACLES | fixture.ORACLES
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 
 

@@ -161,8 +161,9 @@ def test_server(index):
     server = Server(index)
     assert call(server, "search_code", query="add") == "Found 4 matches in 2 files"
     assert call(server, "find_symbol", name="twice") == "- twice (Function) at math.rs:5:7"
-    assert "pub fn add" in call(server, "get_definition", symbol="add")
-    assert "- main (Calls) at main.rs:3" in call(server, "find_references", symbol="add")
+    assert "pub fn add" in call(server, "get_definition", name="add")
+    assert "- main (Calls) at main.rs:3" in call(server, "find_references", name="add") == call(server, "find_references", symbol="add")
+    assert call(server, "find_references", name="add", max_tokens=1).endswith("1 more from offset 1")
     assert "main" in call(server, "find_callers", symbol="add") and "twice" in call(server, "find_callees", symbol="main")
     assert call(server, "get_context", query="add").startswith("Context: ")
     assert call(server, "search_code") == -32602 and call(server, "nothing") == -32602

@@ -29,6 +29,12 @@ def test_python_offsets_are_bytes():
     assert [(c.caller, c.callee) for c in calls] == [(1, "g")]
 
 
+def test_python_that_its_parser_rejects():
+    symbols, calls = names("def good():\n    return first('def no(')\n\nclass A:\n    def old(self):\n        print self.x, good()\n\n    def bad(:\n        pass  # call()\n\ndef last():\n    return good()\n", "python")
+    assert symbols == [("good", "Function", 1, 2, None), ("A", "Class", 4, 9, None), ("old", "Function", 5, 6, "A"), ("bad", "Function", 8, 9, "A"), ("last", "Function", 11, 12, None)]
+    assert calls == [("good", "first"), ("old", "good"), ("last", "good")]
+
+
 def test_javascript_and_typescript():
     symbols, calls = names("class A {\n  run(x) { this.stop(x); }\n}\nasync function main() { const a = new A(); helper(`x ${1}`); }\n", "javascript")
     assert symbols == [("A", "Class", 1, 3, None), ("run", "Method", 2, 2, "A"), ("main", "Function", 4, 4, None)]
