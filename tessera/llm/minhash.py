@@ -149,19 +149,22 @@ def estimates(leader: np.ndarray, size: int, sketches: np.ndarray, sizes: np.nda
 def forest(ids: np.ndarray, padded: tuple[np.ndarray, np.ndarray], fewest: int = SHARED) -> tuple[list[int], list[int]]:
     """Links from members of a list to the least id of their class of likely links; ids ascend.
 
-    Every sketch takes its turn as leader against all members, until all are of one class: no likely link is lost.
+    Every sketch outside the largest class takes its turn as leader against all others: links inside that class change
+    nothing, and links into it are found from the other end. So no likely link is lost.
     """
     sketches, sizes = padded
     label = np.arange(len(ids))
     turn = np.ones(len(ids), bool)
     while True:
-        waiting = np.flatnonzero(turn)
-        if not len(waiting) or (label == label[0]).all():
+        largest = np.bincount(label).argmax()
+        waiting = np.flatnonzero(turn & (label != largest))
+        if not len(waiting):
             break
         at = waiting[0]
-        alike = estimates(sketches[at], int(sizes[at]), sketches, sizes)
-        joined = np.unique(label[alike >= fewest])
-        label[np.isin(label, joined)] = joined.min() if len(joined) else label[at]
+        others = np.flatnonzero(label != label[at])
+        alike = estimates(sketches[at], int(sizes[at]), sketches[others], sizes[others])
+        joined = np.unique(np.append(label[others[alike >= fewest]], label[at]))
+        label[np.isin(label, joined)] = joined.min()
         # The same sketch again would find the same.
         turn[(sketches == sketches[at]).all(axis=1)] = False
     hung = np.flatnonzero(label != np.arange(len(ids)))
