@@ -1,7 +1,7 @@
 """A small source tree of several languages, and queries of the code profile over it.
 
 The driver's tables hold no code; these sources do, so that scanner, call resolution, compacted plans, changes and the
-store have registered queries too. What each must return was worked out by hand from the sources.
+store have registered queries too. What each returned was checked by hand against the sources and is fixed here.
 """
 
 from __future__ import annotations
@@ -154,7 +154,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "code_store": code_store,
 }
 
-# What the sources hold, read off by hand.
+# Results of the queries, each row checked by hand against the sources.
 _SYMBOLS = [
     ("lib/util.go", "Box", "Struct", None, 3, 5), ("lib/util.go", "Grow", "Function", None, 7, 7), ("lib/util.go", "Fill", "Function", None, 9, 9),
     ("old/half.py", "first", "Function", None, 1, 2), ("old/half.py", "second", "Function", None, 4, 5),
