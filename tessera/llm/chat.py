@@ -11,7 +11,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import ceil
+from math import ceil, isfinite
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,6 +29,12 @@ PARTS = "array<struct<type:string,text:string,uri:string,width:double,height:dou
 ATTACHMENTS = "array<struct<number:int,type:string,uri:string,tokens:long>>"
 
 
+def size(part: dict, name: str) -> float:
+    """A size of a part; one that is null, negative or not finite counts as 0."""
+    value = part.get(name)
+    return value if value is not None and isfinite(value) and value > 0 else 0
+
+
 def escape(text: str) -> str:
     return OPEN.sub(r"<\1\\|", text)
 
@@ -77,13 +83,13 @@ class Visitor:
         self.out.append(escape(part.get("text") or ""))
 
     def visit_image(self, part: dict) -> None:
-        self._attach(part, ceil((part.get("width") or 0) / self.patch) * ceil((part.get("height") or 0) / self.patch))
+        self._attach(part, ceil(size(part, "width") / self.patch) * ceil(size(part, "height") / self.patch))
 
     def visit_audio(self, part: dict) -> None:
-        self._attach(part, ceil((part.get("seconds") or 0) * self.audio_rate))
+        self._attach(part, ceil(size(part, "seconds") * self.audio_rate))
 
     def visit_document(self, part: dict) -> None:
-        self._attach(part, (part.get("pages") or 0) * self.page_tokens)
+        self._attach(part, size(part, "pages") * self.page_tokens)
 
     def _attach(self, part: dict, tokens: int) -> None:
         number = len(self.attachments)
@@ -92,11 +98,13 @@ class Visitor:
 
 
 def format_turn(role: str | None, parts: list[dict] | None, trained: str = "assistant") -> Turn:
-    """Format one turn. Null roles and texts are empty; the loss mask holds the texts of the `trained` role."""
+    """Format one turn. Null roles and texts are empty, null parts are left out; the loss mask holds the texts of the `trained` role."""
     visitor = Visitor()
     head = f"{START}{escape_role(role or '')}\n"
     at, loss = len(head), []
     for part in parts or ():
+        if part is None:
+            continue
         before = len(visitor.out)
         visitor.visit(part)
         written = sum(map(len, visitor.out[before:]))
@@ -129,7 +137,8 @@ def turns(df: DataFrame, keep: list[str], role_col: str = "role", parts: Column
     """`keep` columns of each row with `formatted, loss array<struct<start,end>>, attachments, expanded_tokens`.
 
     `parts` is an array of typed parts (see PARTS); by default the column `text` is the one part. A row is a turn, so
-    turns are formatted where they lie, with no shuffle. Unknown types raise. An empty table gives an empty result.
+    turns are formatted where they lie, with no shuffle. Null parts are left out, sizes that are null, negative or not
+    finite count as 0. Unknown types raise. An empty table gives an empty result.
     """
     text_part = F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")))
     named = [df[c].alias(f"k{i}") for i, c in enumerate(keep)]

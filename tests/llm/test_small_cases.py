@@ -289,6 +289,16 @@ def test_chat_parts(spark):
         chat.format_turn("user", [{"type": "video"}])
 
 
+def test_chat_parts_without_sizes(spark):
+    schema = f"conv_id long, role string, content {chat.PARTS}"
+    nan, endless = float("nan"), float("inf")
+    content = [None, ("image", None, "u", nan, 28.0, None, None), ("image", None, "u", endless, 28.0, None, None), ("image", None, "u", -57.0, -28.0, None, None), ("audio", None, "a", None, None, -endless, None), ("document", None, "d", None, None, None, -2), (None, None, None, None, None, None, None), ("text", "t", None, None, None, None, None)]
+    rows = [(1, "assistant", content), (2, None, None), (3, "assistant", [])]
+    got = {r["conv_id"]: r for r in chat.turns(spark.createDataFrame(rows, schema), ["conv_id"], parts=F.col("content")).collect()}
+    assert [a["tokens"] for a in got[1]["attachments"]] == [0] * 5 and got[1]["expanded_tokens"] == 0
+    assert len(got[1]["loss"]) == 1 and got[2]["attachments"] == [] and got[3]["formatted"] == "<|im_start|>assistant\n<|im_end|>\n"
+
+
 def test_licenses(spark, docs, none):
     template = licenses.TEMPLATES["MIT"]
     changed = template.replace("without restriction", "with no restriction").replace("Software", "Program", 2)
