@@ -90,13 +90,12 @@ def covered(df: DataFrame, k: int = WINDOW, id_col: str = "doc_id", text_col: st
         out: dict[str, list] = {n: [] for n in ("gram", "doc", "kind", "first", "edges")}
         for doc, kind, text, at in zip(batch["doc"], batch["kind"], batch["text"], batch["at"], strict=True):
             edge = windows(hashes(split(text)), k).view(np.int64)
-            for path in at:
-                row = (path["gram"], doc, kind, path["first"], edge[path["first"] : path["first"] + path["count"]])
-                for name, x in zip(out, row, strict=True):
+            for gram, first, count in zip(at["gram"], at["first"], at["count"], strict=True):
+                for name, x in zip(out, (gram, doc, kind, first, edge[first : first + count]), strict=True):
                     out[name].append(x)
         return out
 
-    looked = cut(map_batches(docs.join(sources, ["doc", "kind"]), look, "gram long, doc long, kind long, first int, edges array<long>"))
+    looked = cut(map_batches(docs.join(sources, ["doc", "kind"]), look, "gram long, doc long, kind long, first int, edges array<long>", ("at",)))
     edges = looked.select("gram", "doc", "kind", "first", F.posexplode("edges").alias("step", "edge"))
     starts = cut(edges.groupBy("gram", "edge").agg(F.min("doc").alias("start"), F.max("doc").alias("stop")).where("start < stop").drop("stop"))
     single = edges.join(starts, ["gram", "edge"]).where("doc > start").select("doc", "kind", (F.col("first") + F.col("step")).alias("first"), F.lit(1).alias("count"))
@@ -104,17 +103,17 @@ def covered(df: DataFrame, k: int = WINDOW, id_col: str = "doc_id", text_col: st
     return straight.select(*columns).unionByName(equal.select(*columns)).unionByName(single)
 
 
-def marks(n_words: int, runs: list | None, k: int = WINDOW) -> np.ndarray:
-    """Which words lie in a covered window."""
-    step = np.zeros(n_words + 1, np.int64)
-    for run in runs or ():
-        step[run["first"]] += 1
-        step[min(n_words, run["first"] + run["count"] + k - 1)] -= 1
+def marks(n_words: int, runs: dict[str, np.ndarray] | None, k: int = WINDOW) -> np.ndarray:
+    """Which words lie in a covered window; `runs` holds `first` and `count` of each run."""
+    if not runs:
+        return np.zeros(n_words, bool)
+    ends = np.minimum(n_words, runs["first"] + runs["count"] + (k - 1))
+    step = np.bincount(runs["first"], minlength=n_words + 1) - np.bincount(ends, minlength=n_words + 1)
     return np.cumsum(step[:-1]) > 0
 
 
-def apply(df: DataFrame, fn: Callable[[str, np.ndarray], dict], fields: str, keep: list[str], k: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`keep` columns of every row of `df` with the `fields` that `fn(text, covered words)` makes.
+def apply(df: DataFrame, fn: Callable[[str, dict[str, np.ndarray] | None], dict], fields: str, keep: list[str], k: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`keep` columns of every row of `df` with the `fields` that `fn(text, covered runs)` makes.
 
     A word is covered when one of its windows of `k` words also starts in a document with a smaller id; windows are
     judged on the input. Null and empty texts have no words. Rows with a null id are neither sources nor covered. Rows
@@ -132,11 +131,11 @@ def apply(df: DataFrame, fn: Callable[[str, np.ndarray], dict], fields: str, kee
         found = [fn(t, r) for t, r in zip(batch["text"], batch["runs"], strict=True)]
         return {f"k{i}": batch[f"k{i}"] for i in range(len(keep))} | {n: [x[n] for x in found] for n in made}
 
-    out = map_batches(joined, run, f"{types}, {fields}")
+    out = map_batches(joined, run, f"{types}, {fields}", ("runs",))
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *made)
 
 
-def digest(text: str, runs: list | None, k: int = WINDOW) -> dict:
+def digest(text: str, runs: dict[str, np.ndarray] | None, k: int = WINDOW) -> dict:
     """Counts, and the digest of the kept words joined by one space."""
     words = split(text)
     if not runs:
@@ -146,7 +145,7 @@ def digest(text: str, runs: list | None, k: int = WINDOW) -> dict:
     return {"n_words": len(words), "n_removed": int(gone.sum()), "kept_sha256": hashlib.sha256(kept).hexdigest()}
 
 
-def kept_text(text: str, runs: list | None, k: int = WINDOW) -> str:
+def kept_text(text: str, runs: dict[str, np.ndarray] | None, k: int = WINDOW) -> str:
     """The text without its covered words; blanks between kept neighbours stay, a gap becomes one line feed."""
     if not runs:
         return text

@@ -1,16 +1,19 @@
 """Every operator on nulls, empty and long texts, ties, repeated rows, empty tables and clashing extra columns."""
 
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import bpe, chat, crf, debruijn, licenses, minhash, packing, srs, toxicity, va_file
+from tessera.llm.common import struct_lists
 
 DOCS = "doc_id long, text string, key string, value string, id string, text_2 int"
 WORDS = " ".join(f"word{i}" for i in range(120))
@@ -405,3 +408,28 @@ def test_html(spark):
     assert [r["text"] for r in got[1]] == [want, want] and got[1][0]["n_chars"] == len(want)
     assert got[2][0]["text"] == "" and got[3][0]["text"] == "" and got[4][0]["text"] == ""
     assert crf.extract(spark.createDataFrame([], "page_id long, html string"), ["page_id"]).count() == 0
+
+
+def test_runs_of_a_batch_stay_arrays():
+    starts = np.arange(300_000, dtype=np.int32) % 100_000
+    runs = pa.StructArray.from_arrays([pa.array(starts), pa.array(np.ones(300_000, np.int32))], ["first", "count"])
+    column = pa.ListArray.from_arrays(pa.array([0, 100_000, 100_000, 100_000, 300_000], pa.int32()), runs, mask=pa.array([False, True, False, False]))
+
+    def peak(read):
+        tracemalloc.start()
+        out = read()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, most
+
+    lists, held = peak(lambda: struct_lists(column))
+    plain, objects = peak(column.to_pylist)
+    assert held * 10 < objects
+    assert [None if x is None else list(zip(x["first"], x["count"], strict=True)) for x in lists] == [[(r["first"], r["count"]) for r in x] if x else None for x in plain]
+    assert struct_lists(column.slice(3))[0]["first"].tolist() == lists[3]["first"].tolist()
+    for n_words in (100_049, 100_060):
+        want = np.arange(n_words) < 100_049
+        assert (debruijn.marks(n_words, lists[0]) == want).all() and (debruijn.marks(n_words, lists[3]) == want).all()
+    few = {"first": np.array([2, 9]), "count": np.array([1, 2])}
+    assert np.flatnonzero(debruijn.marks(20, few, 3)).tolist() == [2, 3, 4, 9, 10, 11, 12]
+    assert not debruijn.marks(20, None).any()
