@@ -104,6 +104,32 @@ def test_traversal(spark, up):
     assert graph.traverse(df, roots, 0, up).count() == 0
 
 
+@pytest.mark.parametrize("bound", [graph.MOST_STEPS, 20, 3])
+@pytest.mark.parametrize("up", [True, False])
+def test_traversal_from_all(spark, monkeypatch, up, bound):
+    monkeypatch.setattr(graph, "MOST_STEPS", bound)
+    monkeypatch.setattr(graph, "TASK_STEPS", 7)
+    monkeypatch.setattr(graph, "BATCH_NODES", 3)
+    draw = random.Random(4)
+    edges = [(draw.randint(0, 40) << 32, draw.randint(0, 15) << 32) for _ in range(60)] + [(1, 1), (2, 3), (3, 4), (4, 2), (2, 3), (50, 1)]
+    df = spark.createDataFrame([*edges, (None, 1), (1, None)], "from_id long, to_id long")
+    for depth in (1, 2, 3, 5):
+        got = graph.traverse_all(df, depth, up).collect()
+        want = {(r, n, d) for r in {x for e in edges for x in e} for n, d in walk(edges, r, depth, up).items()}
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert graph.traverse_all(df, 0, up).count() == 0
+    assert graph.traverse_all(df.limit(0), 3, up).count() == 0
+
+
+def test_traversal_from_all_shuffles_no_pairs(spark):
+    # 300 lines that call 40 names whose lines call one another: 12,000 pairs from 340 rows with an edge.
+    edges = [(1000 + i, i % 40) for i in range(300)] + [(i, (i * 7 + j) % 40) for i in range(40) for j in range(6)]
+    found = graph.traverse_all(spark.createDataFrame(edges, "from_id long, to_id long"), 3)
+    assert found.count() > 9_000
+    plan = found._jdf.queryExecution().toString()
+    assert "Join" not in plan and "distinct" not in plan.lower()
+
+
 def test_call_resolution(spark):
     symbols = spark.createDataFrame([(1, "f", 0, None, "a"), (2, "f", 1, None, "b"), (3, "g", 1, "T", "b"), (4, "new", 2, "P", "c"), (5, "P", 2, None, "c"), (6, "only", 2, "P", "c")], "symbol_id long, name string, file_id long, parent_name string, stem string")
     rows = [(10, 0, "f", None), (11, 1, "self::f", None), (12, 3, "f", None), (None, 0, "f", None), (13, 1, "self.g", "T"), (14, 0, "P::new", None), (15, 0, "String::new", None), (16, 0, "b::f", None), (17, 0, "x.only", None), (18, 0, "zzz", None)]
