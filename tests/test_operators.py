@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import compact
 from tessera.operators import graph, lexical, planning, semantic
+from tessera.plans import catalog
 
 
 def files(spark, texts):
@@ -130,6 +131,42 @@ def test_traversal_from_all_shuffles_no_pairs(spark):
     assert "Join" not in plan and "distinct" not in plan.lower()
 
 
+@pytest.mark.parametrize("twice", [False, True])
+@pytest.mark.parametrize("rows", [1, 3, 10_000])
+def test_callee_lists(spark, monkeypatch, rows, twice):
+    draw = random.Random(5)
+    texts = ["\n".join(" ".join(f"w{draw.randint(0, 25)}" for _ in range(draw.randint(0, 6))) for _ in range(draw.randint(0, 9))) for _ in range(30)]
+    own = files(spark, texts).repartition(3)
+    if twice:
+        # Its lines lie in two places, and names of either are its own.
+        own = own.withColumn("file_id", F.when(F.col("file_id") == 29, 0).otherwise(F.col("file_id")))
+    monkeypatch.setattr(graph, "SMALL_NAMES", 0)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        lines = lexical.lines(own)
+        symbols, calls = catalog.text_symbols(lines, 2)
+        want = {tuple(r)[:2] for r in graph.resolve_calls(calls, symbols).collect()}
+        found = graph.callee_lists(catalog.named_lines(lines, 2), own)
+        got = [(r["from_id"], to) for r in found.collect() for to in r["to"]]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert want and set(got) == want and len(got) == len(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert twice or "Join" not in plan and "Aggregate" not in plan
+
+
+def test_registered_traversal_shuffles_no_calls(spark, monkeypatch, tmp_path):
+    # However many names there are, calls are not joined with them.
+    monkeypatch.setattr(graph, "SMALL_NAMES", 0)
+    monkeypatch.setattr(graph, "resolve_calls", lambda *_: pytest.fail("calls are joined"))
+    docs = spark.createDataFrame([(1, "alpha beta\nbeta gamma alpha", "s", "en"), (2, "gamma beta\n", "s", "en")], "doc_id long, text string, source string, lang string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    a, b, g = 1 << 32, (1 << 32) + 11, 2 << 32
+    want = {(a, b, 1), (a, g, 2), (a, a, 2), (b, g, 1), (b, a, 1), (b, b, 2), (g, b, 1), (g, a, 2), (g, g, 2)}
+    assert {tuple(r) for r in catalog.QUERIES["all_callees_upto_3"](spark, str(tmp_path)).collect()} == want
+    assert {tuple(r) for r in catalog.QUERIES["all_callers_upto_3"](spark, str(tmp_path)).collect()} == {(y, x, d) for x, y, d in want}
+
+
 def test_call_resolution(spark):
     symbols = spark.createDataFrame([(1, "f", 0, None, "a"), (2, "f", 1, None, "b"), (3, "g", 1, "T", "b"), (4, "new", 2, "P", "c"), (5, "P", 2, None, "c"), (6, "only", 2, "P", "c")], "symbol_id long, name string, file_id long, parent_name string, stem string")
     rows = [(10, 0, "f", None), (11, 1, "self::f", None), (12, 3, "f", None), (None, 0, "f", None), (13, 1, "self.g", "T"), (14, 0, "P::new", None), (15, 0, "String::new", None), (16, 0, "b::f", None), (17, 0, "x.only", None), (18, 0, "zzz", None)]
